@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, sharding, warc
+from . import bpe, dedup, quality, sharding, warc
 from .common import scratch, table
 
 
+def op2_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality.judge(table(spark, sf_dir, "documents"), trusted)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
     return warc.read(spark, manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -33,7 +38,7 @@ def op9_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_warc, op6_byte_bpe, op7_minhash_dedup, op9_hash_tree_sharding)}
+    return {f.__name__: f for f in (op2_quality_ratio, op4_warc, op6_byte_bpe, op7_minhash_dedup, op9_hash_tree_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
