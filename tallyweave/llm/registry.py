@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, quality, sharding, warc
+from . import bpe, decontam, dedup, licenses, quality, sharding, warc
 from .common import scratch, table
 
 
@@ -16,11 +16,19 @@ def op2_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), trusted)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
     return warc.read(spark, manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,7 +46,7 @@ def op9_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_ratio, op4_warc, op6_byte_bpe, op7_minhash_dedup, op9_hash_tree_sharding)}
+    return {f.__name__: f for f in (op2_quality_ratio, op3_license_scan, op4_warc, op5_template_decontamination, op6_byte_bpe, op7_minhash_dedup, op9_hash_tree_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
