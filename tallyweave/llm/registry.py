@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, dedup, licenses, quality, sharding, warc
+from . import bpe, decontam, dedup, language, licenses, quality, sharding, toxicity, warc
 from .common import scratch, table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"), language.standard_holdout())
+
+
 def op2_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality.judge(table(spark, sf_dir, "documents"), trusted)
@@ -41,12 +45,16 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity.standard_holdout())
+
+
 def op9_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_ratio, op3_license_scan, op4_warc, op5_template_decontamination, op6_byte_bpe, op7_minhash_dedup, op9_hash_tree_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality_ratio, op3_license_scan, op4_warc, op5_template_decontamination, op6_byte_bpe, op7_minhash_dedup, op8_toxicity, op9_hash_tree_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
