@@ -14,8 +14,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import struct
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -23,8 +24,10 @@ from pyspark.sql import types as T
 from .common import map_rows
 
 #: Bounds on cached work; a full cache is emptied and fills again.
-MOST_STATES, MOST_PAIRS, MOST_WORDS = 40_000, 300_000, 150_000
+MOST_STATES, MOST_PAIRS, MOST_WORDS = 250_000, 500_000, 1_000_000
 DECODE_STEP = 4096
+#: Texts of so many characters are split piece by piece.
+LONG = 1_000_000
 
 Path = tuple[int, int, tuple[int, ...]]
 
@@ -49,7 +52,7 @@ class Transducer:
                 at = to
             self.ends[at] = rank
         self.inner = inner
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.forget()
 
@@ -59,21 +62,24 @@ class Transducer:
         self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
         self.last: list[tuple[int, ...]] = [()]
 
-    def merged(self, data: bytes, cut: int = -1) -> list[bytes] | None:
-        """``data`` merged by rank, lowest first, leftmost first; None once a merge spans ``cut``."""
-        parts, ranks = [data[i : i + 1] for i in range(len(data))], self.ranks
-        while len(parts) > 1:
-            best, at, start, here = None, -1, 0, 0
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at, here = rank, i, start + len(parts[i])
-                start += len(parts[i])
-            if best is None:
-                break
-            if here == cut:
+    def merged(self, data: bytes, cut: int = 0) -> list[bytes] | None:
+        """``data`` merged by rank, lowest first, leftmost first; None once a merge spans byte ``cut``."""
+        get, never = self.ranks.get, len(self.tokens) + 1
+        parts = [data[i : i + 1] for i in range(len(data))]
+        order = [get(data[i : i + 2], never) for i in range(len(data) - 1)]
+        while order and (best := min(order)) < never:
+            at = order.index(best)
+            if at + 1 == cut:
                 return None
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            if at + 1 < cut:
+                cut -= 1
+            whole = parts[at] + parts.pop(at + 1)
+            parts[at] = whole
+            del order[at]
+            if at:
+                order[at - 1] = get(parts[at - 1] + whole, never)
+            if at < len(order):
+                order[at] = get(whole + parts[at + 1], never)
         return parts
 
     def reachable(self, token: int) -> bool:
@@ -84,38 +90,57 @@ class Transducer:
         return known
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        key = left << 32 | right
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= MOST_PAIRS:
                 self.pairs.clear()
             a = self.tokens[left]
-            known = self.pairs[left, right] = self.merged(a + self.tokens[right], len(a)) is not None
+            known = self.pairs[key] = self.merged(a + self.tokens[right], len(a)) is not None
         return known
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Determinises one transition: the state after ``byte`` and the tokens it settles."""
+        """Determinises one transition: the state after ``byte`` and the tokens it settles.
+
+        Paths stand in the order of where their open tokens begin. Of those that end a token here
+        exactly one is right, so the last one left needs no test.
+        """
         paths: list[Path] = []
+        ending: list[tuple[int, int, tuple[int, ...]]] = []
+        edges, inner, ends = self.edges, self.inner, self.ends
         for left, node, pending in self.sets[state]:
-            to = self.edges.get(node << 8 | byte)
-            if to is None:
-                continue
-            if to in self.inner:
-                paths.append((left, to, pending))
-            token = self.ends.get(to)
-            if token is not None and self.reachable(token) and (left < 0 or self.compatible(left, token)):
-                paths.append((token, self.ROOT, (*pending, token)))
-        agreed = 0
-        shortest = min(len(p[2]) for p in paths)
-        while agreed < shortest and all(p[2][agreed] == paths[0][2][agreed] for p in paths):
-            agreed += 1
-        settled = paths[0][2][:agreed]
-        key = tuple(sorted((left, node, pending[agreed:]) for left, node, pending in paths))
+            to = edges.get(node << 8 | byte)
+            if to is not None:
+                if to in inner:
+                    paths.append((left, to, pending))
+                token = ends.get(to)
+                if token is not None and self.reachable(token):
+                    ending.append((left, token, pending))
+        for left, token, pending in ending[:-1]:
+            if left < 0 or self.compatible(left, token):
+                break
+        else:
+            left, token, pending = ending[-1]
+        paths.append((token, self.ROOT, (*pending, token)))
+        settled = paths[0][2]
+        for path in paths:
+            if not settled:
+                break
+            if path[2][: len(settled)] != settled:
+                n = 0
+                for a, b in zip(settled, path[2]):
+                    if a != b:
+                        break
+                    n += 1
+                settled = settled[:n]
+        n = len(settled)
+        key = tuple([(left, node, pending[n:]) for left, node, pending in paths]) if n else tuple(paths)
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            self.last.append(next(pending for _, node, pending in key if node == self.ROOT))
+            self.last.append(key[-1][2])
         self.moves[state][byte] = number, settled
         return number, settled
 
@@ -180,6 +205,22 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Words(dict):
+    """Ids of pretokens as bytes; a missing one is encoded on demand."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word.encode("utf-8", "replace"))
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= 64:
+            if len(self) >= MOST_WORDS:
+                self.clear()
+            self[word] = packed
+        return packed
+
+
 class Codec:
     """Encoding and decoding by a rank file and a pretoken pattern; texts of any length."""
 
@@ -187,34 +228,21 @@ class Codec:
         import regex
 
         self.transducer = Transducer(load_ranks(path))
-        self.split = regex.compile(pattern).finditer
-        self.words: dict[str, bytes] = {}
+        self.pattern = regex.compile(pattern)
+        self.words = Words(self.transducer.encode)
+        self.bytes_of = [self.transducer.tokens.get(i, b"") for i in range(max(self.transducer.tokens) + 1)]
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; none for null or empty text."""
-        out, words = [], self.words
-        for match in self.split(text or ""):
-            word = match.group()
-            ids = words.get(word)
-            if ids is None:
-                if len(words) >= MOST_WORDS:
-                    words.clear()
-                ids = b"".join(i.to_bytes(4, "little") for i in self.transducer.encode(word.encode("utf-8", "replace")))
-                if len(word) <= 64:
-                    words[word] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def pieces(self, ids: Iterable[int]) -> Iterator[bytes]:
-        tokens, part = self.transducer.tokens, []
-        for i in ids:
-            part.append(tokens[i])
-            if len(part) == DECODE_STEP:
-                yield b"".join(part)
-                part = []
-        yield b"".join(part)
-
-    def decode(self, ids: Iterable[int]) -> Iterator[str]:
+        found = self.pattern.findall(text or "") if len(text or "") < LONG else (m.group() for m in self.pattern.finditer(text))
+        return b"".join(map(self.words.__getitem__, found))
+
+    def pieces(self, ids: Sequence[int]) -> Iterator[bytes]:
+        get = self.bytes_of.__getitem__
+        for at in range(0, len(ids), DECODE_STEP):
+            yield b"".join(map(get, ids[at : at + DECODE_STEP]))
+
+    def decode(self, ids: Sequence[int]) -> Iterator[str]:
         """Text in pieces, as it becomes certain."""
         machine = Utf8Machine()
         for piece in self.pieces(ids):
