@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, dedup, language, licenses, quality, sharding, toxicity, warc
+from . import bpe, decontam, dedup, language, licenses, pii, quality, sharding, toxicity, warc
 from .common import scratch, table
 
 
@@ -53,8 +53,12 @@ def op9_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality_ratio, op3_license_scan, op4_warc, op5_template_decontamination, op6_byte_bpe, op7_minhash_dedup, op8_toxicity, op9_hash_tree_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality_ratio, op3_license_scan, op4_warc, op5_template_decontamination, op6_byte_bpe, op7_minhash_dedup, op8_toxicity, op9_hash_tree_sharding, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
