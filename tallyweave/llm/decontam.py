@@ -23,39 +23,46 @@ UNITS = (
     "mph kmh km/h hz khz mhz ghz w kw kwh v a n j kj cal kcal pa kpa k c f percent % dollar dollars cent cents euro euros usd eur gbp kb mb gb tb"
 ).split()
 
-_CORE = r"lower(translate(x, '.,;:!?()[]{}\"“”«»…', ''))"
-_NUMBER = r"rlike(x, r'^[(\[\"$€£+-]*[0-9][0-9.,:/]*[%)\].,;:!?\"]*$')"
-
-
-def _tokens() -> str:
-    """SQL for array<struct<kind, value>> of the words ``w``; kind: '' literal, else the slot's type."""
-    units = ", ".join(f"'{u}'" for u in UNITS)
-    return f"""transform(w, (x, i) -> CASE
-      WHEN left(x, 1) < 'A' AND {_NUMBER} THEN struct('n' AS kind, {_CORE} AS value)
-      WHEN i > 0 AND right(w[greatest(i - 1, 0)], 1) BETWEEN '0' AND '9' AND {_CORE} IN ({units}) THEN struct('u' AS kind, {_CORE} AS value)
-      WHEN i > 0 AND lower(left(x, 1)) <> left(x, 1) AND lower(x) <> x AND upper(x) <> x AND right(w[greatest(i - 1, 0)], 1) NOT IN ('.', '!', '?', ':', '"') THEN struct('m' AS kind, {_CORE} AS value)
-      ELSE struct('' AS kind, {_CORE} AS value) END)"""
+_PUNCTUATION = r'.,;:!?()[]{}"“”«»…'
+_IS_NUMBER = r"rlike(w[i], r'^[(\[\"$€£+-]*[0-9][0-9.,:/]*[%)\].,;:!?\"]*$')"
+_AFTER_NUMBER = "i > 0 AND right(w[greatest(i - 1, 0)], 1) BETWEEN '0' AND '9'"
+_IS_NAME = """i > 0 AND lower(left(w[i], 1)) <> left(w[i], 1) AND upper(w[i]) <> w[i]
+          AND right(w[greatest(i - 1, 0)], 1) NOT IN ('.', '!', '?', ':', '"')"""
 
 
 def _canonical(rows: DataFrame, text: str) -> DataFrame:
-    """Adds h (token hashes, one fixed hash a slot type) and slots (at, kind, value of each slot).
+    """Adds h and slots of the words in ``text``.
 
-    Line ends count as sentence ends: they are written as a full stop after the word before them.
+    h has a hash for each token, for slots the code of their type's letter (n number, u unit, m
+    name) instead; slots has at, kind and value of each slot. Line ends count as sentence ends. A
+    word of punctuation alone is no token.
     """
-    words = F.expr(rf"split(btrim(regexp_replace(coalesce({text}, ''), r'(?<=[^\s.!?:])(?=[ \t\r]*\n)', '.'), ' \t\n\x0b\x0c\r'), r'[\x20\x09-\x0D]+')")
-    rows = rows.withColumn("_w", words)
-    # a word of punctuation alone is no token
-    packed = f"""inline(transform(array(_w), w -> struct(filter({_tokens()}, t -> t.value <> '') AS tokens)))"""
-    rows = rows.select(*[c for c in rows.columns if c not in ("_w", text)], F.expr(packed))
-    h = "transform(tokens, t -> CASE WHEN t.kind = '' THEN xxhash64(t.value) ELSE ascii(t.kind) END)"
-    slots = "filter(transform(tokens, (t, i) -> struct(i AS at, t.kind AS kind, t.value AS value)), s -> s.kind <> '')"
-    return rows.select(*[c for c in rows.columns if c != "tokens"], F.expr(f"inline(transform(array(tokens), tokens -> struct({h} AS h, CASE WHEN exists(tokens, t -> t.kind <> '') THEN {slots} ELSE array() END AS slots)))"))
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    clean = f"lower(translate(x, '{_PUNCTUATION}', ''))"
+    # most words begin with a small letter and are no unit: they skip the other tests
+    code = f"""CASE
+      WHEN c = '' THEN NULL
+      WHEN w[i] >= 'a' AND w[i] < '{{' AND c NOT IN ({units}) THEN xxhash64(c)
+      WHEN w[i] < 'A' AND {_IS_NUMBER} THEN cast(ascii('n') as bigint)
+      WHEN c IN ({units}) AND {_AFTER_NUMBER} THEN cast(ascii('u') as bigint)
+      WHEN {_IS_NAME} THEN cast(ascii('m') as bigint)
+      ELSE xxhash64(c) END"""
+    words = rf"split(btrim(replace(coalesce({text}, ''), '\n', '. '), ' \t\x0b\x0c\r'), r'[\x20\x09-\x0D]+')"
+    places = "filter(transform(g, (x, i) -> struct(x AS h, cores[i] AS value)), s -> s.h IS NOT NULL)"
+    slots = f"filter(transform({places}, (s, i) -> struct(i AS at, CASE WHEN s.h BETWEEN 0 AND 127 THEN char(s.h) END AS kind, s.value AS value)), s -> s.kind IS NOT NULL)"
+    bound = f"""
+      inline(transform(array({words}), w ->
+        get(transform(array(transform(w, x -> {clean})), cores ->
+          get(transform(array(transform(cores, (c, i) -> {code})), g ->
+            struct(filter(g, x -> x IS NOT NULL) AS h, CASE WHEN exists(g, x -> x BETWEEN 0 AND 127) THEN {slots} ELSE array() END AS slots)
+          ), 0)), 0)))"""
+    return rows.select(*[c for c in rows.columns if c != text], F.expr(bound))
 
 
 def _windows(rows: DataFrame, width: int) -> DataFrame:
     """Adds at and key for each window of ``width`` tokens of which at least half are literal."""
     one = " , ".join(f"h[i + {j}]" for j in range(width))
-    literal = " + ".join(f"int(h[i + {j}] < 0 OR h[i + {j}] > 127)" for j in range(width))
+    literal = " + ".join(f"int(h[i + {j}] NOT BETWEEN 0 AND 127)" for j in range(width))
     keys = f"CASE WHEN size(h) < {width} THEN array() WHEN size(slots) = 0 THEN transform(sequence(0, size(h) - {width}), i -> xxhash64({one})) ELSE transform(sequence(0, size(h) - {width}), i -> CASE WHEN 2 * ({literal}) >= {width} THEN xxhash64({one}) END) END"
     bound = rows.select(*[c for c in rows.columns if c != "h"], F.expr(f"inline(transform(array(h), h -> struct({keys} AS keys)))"))
     return bound.select(*[c for c in bound.columns if c != "keys"], F.posexplode("keys").alias("at", "key")).where("key is not null")
