@@ -62,7 +62,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL}
+    return {"op3_license_scan": _op3_sql(), "op4_warc": OP4_SQL, "op7_minhash_dedup": OP7_SQL}
+
+
+def _op3_sql() -> str:
+    """Every unit against every template, without pruning."""
+    rows = ", ".join(f"('{name}', [{', '.join(repr(g) for g in licenses.bigrams(t))}])" for name, t in licenses.TEMPLATES)
+    return f"""
+WITH n AS (
+  SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9\\n]+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL
+), u AS (
+  SELECT doc_id, unnest(list_concat(list_concat(string_split(t, chr(10)), list_filter(regexp_split_to_array(t, '\\n *(?:\\n *)+'), lambda p: contains(p, chr(10)))),
+    CASE WHEN regexp_matches(t, '\\n *\\n') THEN [t] ELSE [] END)) AS unit FROM n
+), w AS (
+  SELECT doc_id, regexp_split_to_array(trim(replace(unit, chr(10), ' ')), ' +') AS w FROM u
+), g AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM w WHERE len(w) > 1
+), t(license, tg) AS (VALUES {rows}),
+best AS (
+  SELECT doc_id, license, max(2.0::DOUBLE * len(list_intersect(grams, tg)) / (len(grams) + len(tg))) AS dice
+  FROM (SELECT *, row_number() OVER () AS unit_no FROM g) x JOIN t ON true GROUP BY unit_no, doc_id, license, grams
+)
+SELECT doc_id, license, round(max(dice), 6) AS dice, count(*) AS n_units FROM best WHERE dice >= 0.8 - 1e-9 GROUP BY doc_id, license
+"""
 
 
 OP4_SQL = """
@@ -78,3 +100,24 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes < 100 OR page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM f
 """
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w
+), e AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), both_ways AS MATERIALIZED (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach AS (
+  SELECT DISTINCT a AS doc_id, a AS other FROM both_ways
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other
+), c AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT s.doc_id, len(s) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, coalesce(component_id, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN c ON s.doc_id = c.doc_id
+"""

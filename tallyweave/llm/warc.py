@@ -122,10 +122,11 @@ def cuts(df: DataFrame, key: str, size: str, most: int) -> list[int]:
         case: Column = F.lit(None).cast("struct<low:bigint,high:bigint>")
         for low, high in todo:
             step = -(-(high - low + 1) // PARTS)
-            # an offset computed by subtraction could overflow a long only over ranges beyond 2**63
-            at = F.floor((F.col(key) - F.lit(low)) / F.lit(step)).cast("long") if high - low < 2**52 else F.floor((F.col(key).cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / F.lit(step).cast("decimal(38,0)")).cast("long")
-            start = (F.lit(low).cast("decimal(38,0)") + at.cast("decimal(38,0)") * F.lit(step).cast("decimal(38,0)")).cast("long")
-            end = F.least(start.cast("decimal(38,0)") + F.lit(step - 1).cast("decimal(38,0)"), F.lit(high).cast("decimal(38,0)")).cast("long")
+            # in decimals, as offsets within a range of longs can exceed a long
+            big = lambda x: f"cast('{x}' as decimal(38,0))"
+            start = f"{big(low)} + cast((cast(`{key}` as decimal(38,0)) - {big(low)}) div {big(step)} as decimal(38,0)) * {big(step)}"
+            end = F.expr(f"cast(least({start} + {big(step - 1)}, {big(high)}) as bigint)")
+            start = F.expr(f"cast({start} as bigint)")
             case = F.when(F.col(key).between(low, high), F.struct(start.alias("low"), end.alias("high"))).otherwise(case)
         rows = df.select(case.alias("_part"), F.col(size).alias("_size")).where("_part is not null").groupBy("_part").agg(F.sum("_size").alias("n")).collect()
         todo = []
