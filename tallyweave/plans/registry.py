@@ -11,6 +11,7 @@ from tallyweave.config import MatchConfig
 from tallyweave.functions import stats, text
 from tallyweave.operators import candidates, cells, frontier, identify, metrics, profiling, report, resolve, scoped
 from tallyweave.plans import projection
+from tallyweave.plans.cut import cut
 from tallyweave.sources import datagen, records
 from tallyweave.streaming import incremental
 
@@ -297,7 +298,7 @@ def frontier_buckets(spark, sf_dir):
 
 def learned_frontier(spark, sf_dir):
     """A ranker fitted on the dev groups, its frontier read on the others."""
-    r = projection.records(spark, sf_dir)
+    r = cut(projection.records(spark, sf_dir))
     parts = {s: r.where(stats.assign_split(F.col("match_id")) == s) for s in ("dev", "val")}
     rows = {s: frontier.feature_rows(p, cells.truth(p)) for s, p in parts.items()}
     scored = frontier.fit_ranker(rows["dev"], trees=10, depth=4)(rows["val"])
