@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,8 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     if root:
         return root.rstrip("/")
     if not getattr(shared_dir, "own", None):
-        shared_dir.own = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
-        atexit.register(_remove, spark, shared_dir.own)
+        own = tempfile.mkdtemp(prefix="tallyweave-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        shared_dir.own = "file://" + own
     return shared_dir.own
 
 
@@ -57,6 +60,12 @@ def drop_stored(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished queries: its cleaner follows garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
