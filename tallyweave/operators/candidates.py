@@ -88,27 +88,28 @@ def _sums(whole: DataFrame, whole_id: str, parts: DataFrame, part_id: str, confi
     windows = _windows(parts, part_id, scope, config)
     target = whole.select(*scope, (F.col("amount") < 0).alias("negative"), "date", F.col(whole_id).alias("whole_id"), F.col("amount").alias("total"), F.col("description").alias("whole_text"))
     both = target.join(windows, [*scope, "negative", "date"])
-    hits = []
-    for k in range(2, config.max_split + 1):
-        if config.window_cap is not None:
-            if config.window_cap < k:
-                continue
-            fits = F.filter(_combinations(config.window_cap, k), _adds_up(k))
-            found = both.select("whole_id", "whole_text", "parts", F.explode(fits).alias("c"))
-            chosen = F.transform("c", lambda i: F.get("parts", i))
-            hits.append(found.select("whole_id", "whole_text", chosen.alias("chosen")))
-        else:
-            # whole windows: grow sets by id order, the last part by its exact missing amount
-            grown = both.select("whole_id", "whole_text", "total", "parts", F.explode(F.transform("parts", lambda p: F.array(p))).alias("chosen"))
-            for _ in range(k - 2):
-                later = F.filter("parts", lambda p: p.getField("id") > F.element_at(F.col("chosen"), -1).getField("id"))
-                grown = grown.select("whole_id", "whole_text", "total", "parts", F.explode(F.transform(later, lambda p: F.concat(F.col("chosen"), F.array(p)))).alias("chosen"))
-            missing = F.col("total") - F.aggregate(F.transform("chosen", lambda p: p.getField("amount")), F.lit(0).cast("decimal(38,10)"), lambda x, y: (x + y).cast("decimal(38,10)"))
-            last = F.filter("parts", lambda p: (p.getField("id") > F.element_at(F.col("chosen"), -1).getField("id")) & (p.getField("amount") == missing))
-            hits.append(grown.select("whole_id", "whole_text", F.explode(F.transform(last, lambda p: F.concat(F.col("chosen"), F.array(p)))).alias("chosen")))
-    if not hits:
-        return both.select("whole_id", "whole_text", F.col("parts").alias("chosen")).where("false")
-    return reduce(DataFrame.unionByName, hits)
+    sizes = range(2, config.max_split + 1)
+    if config.window_cap is not None:
+        fits = [F.filter(_combinations(config.window_cap, k), _adds_up(k)) for k in sizes if k <= config.window_cap]
+        if not fits:
+            return both.select("whole_id", "whole_text", F.col("parts").alias("chosen")).where("false")
+        # all sizes in one pass over the windows; only sets that add up leave the row
+        found = both.select("whole_id", "whole_text", "parts", F.explode(F.concat(*fits)).alias("c"))
+        return found.select("whole_id", "whole_text", F.transform("c", lambda i: F.get("parts", i)).alias("chosen"))
+    hits = [_grown(both, k) for k in sizes]
+    return reduce(DataFrame.unionByName, hits) if hits else both.select("whole_id", "whole_text", F.col("parts").alias("chosen")).where("false")
+
+
+def _grown(both: DataFrame, k: int) -> DataFrame:
+    """Sets of ``k`` parts of whole windows: grown in id order, the last part by its exact missing amount."""
+    grown = both.select("whole_id", "whole_text", "total", "parts", F.explode(F.transform("parts", lambda p: F.array(p))).alias("chosen"))
+    after = lambda p: p.getField("id") > F.element_at(F.col("chosen"), -1).getField("id")
+    for _ in range(k - 2):
+        later = F.filter("parts", after)
+        grown = grown.select("whole_id", "whole_text", "total", "parts", F.explode(F.transform(later, lambda p: F.concat(F.col("chosen"), F.array(p)))).alias("chosen"))
+    spent = F.aggregate(F.transform("chosen", lambda p: p.getField("amount")), F.lit(0).cast("decimal(38,10)"), lambda x, y: (x + y).cast("decimal(38,10)"))
+    last = F.filter("parts", lambda p: after(p) & (p.getField("amount") == F.col("total") - spent))
+    return grown.select("whole_id", "whole_text", F.explode(F.transform(last, lambda p: F.concat(F.col("chosen"), F.array(p)))).alias("chosen"))
 
 
 def _scored(hits: DataFrame, entries_are_parts: bool, tier: int, config: MatchConfig) -> DataFrame:
