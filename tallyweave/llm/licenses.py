@@ -78,9 +78,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", dice: floa
     sizes = [_bounds(len(g), dice) for _, g in grams]
     fewest, most = min(s[0] for s in sizes), max(s[1] for s in sizes)
     rare = sorted({g for (_, gs), (low, _) in zip(grams, sizes, strict=True) for g in _rarer(gs, low, dice)})
-    # a unit with n distinct bigrams has more than n words, which the first pass can count cheaply
+    # a unit with n distinct bigrams has more than n words; one with a rare bigram has its longer word
+    words = sorted({max(g.split(), key=len) for g in rare})
     long_enough = units(docs, id_col, text).where(F.length("unit") - F.length(F.translate("unit", " ", "")) >= fewest)
-    sets = long_enough.select("doc_id", F.expr("inline(transform(array(split(unit, ' +')), w -> struct(array_distinct(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))) AS grams)))"))
+    told = long_enough.select("doc_id", F.expr("inline(array(struct(split(unit, ' +') AS w)))")).where(f"arrays_overlap(w, {_quoted(words)})")
+    sets = told.select("doc_id", F.expr("inline(transform(array(w), w -> struct(array_distinct(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))) AS grams)))"))
     likely = sets.where(F.size("grams").between(fewest, most)).where(f"arrays_overlap(grams, {_quoted(rare)})")
     tests = ", ".join(
         f"CASE WHEN size(grams) BETWEEN {low} AND {high} THEN struct('{name}' AS license, 2D * size(array_intersect(grams, {_quoted(g)})) / (size(grams) + {len(g)}) AS dice) END"
