@@ -1,7 +1,7 @@
 """License scan by Dice similarity of word bigrams, in DataFrame and SQL functions only.
 
-Lines of a text, its blank-line paragraphs and the whole text are compared with short license
-texts. Sizes prune first: two sets of a and b bigrams can reach a Dice coefficient of t only if
+Lines of a text, its blank-line paragraphs and the whole text are compared with short licenses,
+whole and by paragraph, and with the notices and titles of longer ones. Sizes prune first: two sets of a and b bigrams can reach a Dice coefficient of t only if
 a >= b * t / (2 - t) and the reverse. Among the templates that remain for a unit, one whose rarer
 bigrams the unit lacks entirely cannot reach it either, which spares most units any comparison.
 """
@@ -15,6 +15,33 @@ from pyspark.sql import functions as F
 
 DICE = 0.8
 
+#: Paragraphs of the licenses that are short enough to stand whole in a text.
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+)
+#: Notices that longer licenses ask for; their own texts are known by title and by these.
+_APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "http://www.apache.org/licenses/LICENSE-2.0",
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+)
+_GNU = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} Public License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+_HOPE = "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} Public License for more details."
+_CC = "This work is licensed under the Creative Commons {0} 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/{1}/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."
+
 #: The notices that licenses ask for or that are commonly used to name them.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -32,6 +59,47 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    # whole paragraphs and whole texts, beside the mentions above
+    ("All-Rights-Reserved", "All rights reserved."),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "This project is licensed under the MIT License."),
+    ("MIT", _MIT[0]),
+    ("MIT", _MIT[1]),
+    ("MIT", _MIT[2]),
+    ("MIT", " ".join(_MIT)),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", _ISC[0]),
+    ("ISC", _ISC[1]),
+    ("ISC", " ".join(_ISC)),
+    ("BSD-2-Clause", _BSD[0]),
+    ("BSD-2-Clause", " ".join((*_BSD[:3], _BSD[4]))),
+    ("BSD-3-Clause", _BSD[3]),
+    ("BSD-3-Clause", " ".join(_BSD)),
+    ("BSD-2-Clause", _BSD[4]),
+    ("BSD-3-Clause", _BSD[4]),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", _APACHE[0]),
+    ("Apache-2.0", " ".join(_APACHE[:2])),
+    ("Apache-2.0", _APACHE[2]),
+    ("Apache-2.0", " ".join(_APACHE)),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", _GNU.format("program", "General", 2)),
+    ("GPL-2.0", " ".join((_GNU.format("program", "General", 2), _HOPE.format("program", "General")))),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", " ".join((_GNU.format("program", "General", 3), _HOPE.format("program", "General")))),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", _GNU.format("program", "Affero General", 3)),
+    ("AGPL-3.0", " ".join((_GNU.format("program", "Affero General", 3), _HOPE.format("program", "Affero General")))),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", _GNU.format("library", "Lesser General", "2.1")),
+    ("LGPL-2.1", " ".join((_GNU.format("library", "Lesser General", "2.1"), _HOPE.format("library", "Lesser General")))),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", " ".join((_GNU.format("library", "Lesser General", 3), _HOPE.format("library", "Lesser General")))),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    *((f"CC-{c.upper()}-4.0", _CC.format(n, c)) for c, n in (("by", "Attribution"), ("by-nc", "Attribution-NonCommercial"), ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives"), ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("by-nd", "Attribution-NoDerivatives"), ("by-sa", "Attribution-ShareAlike"))),
 )
 
 
@@ -88,5 +156,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", dice: floa
         f"CASE WHEN size(grams) BETWEEN {low} AND {high} THEN struct('{name}' AS license, 2D * size(array_intersect(grams, {_quoted(g)})) / (size(grams) + {len(g)}) AS dice) END"
         for (name, g), (low, high) in zip(grams, sizes, strict=True)
     )
-    best = likely.select("doc_id", F.explode(F.expr(f"map_entries(map_from_entries(transform(array({', '.join(repr(n) for n in sorted({n for n, _ in grams}))}), n -> struct(n AS key, array_max(transform(filter(array({tests}), x -> x.license = n), x -> x.dice)) AS value))))")).alias("e"))
-    return best.where(F.col("e.value") >= dice - 1e-9).groupBy("doc_id", F.col("e.key").alias("license")).agg(F.round(F.max("e.value"), 6).alias("dice"), F.count("*").alias("n_units"))
+    hits = likely.select("doc_id", F.expr(f"inline(array(struct(filter(array({tests}), x -> x.dice >= {dice - 1e-9}D) AS hits)))"))
+    best = hits.select("doc_id", F.expr("inline(transform(array_distinct(transform(hits, x -> x.license)), n -> struct(n AS license, array_max(transform(filter(hits, x -> x.license = n), x -> x.dice)) AS dice)))"))
+    return best.groupBy("doc_id", "license").agg(F.round(F.max("dice"), 6).alias("dice"), F.count("*").alias("n_units"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -161,6 +162,20 @@ def test_licenses_equal_brute_force(spark):
     assert got == want and licenses.scan(rows(spark, [])).count() == 0
 
 
+def test_complete_license_texts(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + "\n\n".join(licenses._MIT)
+    isc = "ISC License\n\nCopyright (c) 2020 A. Person <a@b.org>\n\n" + "\n\n".join(licenses._ISC)
+    bsd = "Copyright (c) 2020, A. Person\nAll rights reserved.\n\n" + "\n\n".join(licenses._BSD)
+    wrapped = ["\n\n".join(textwrap.fill(p, 80) for p in t.split("\n\n")) for t in (mit, isc, bsd)]
+    texts = [mit, isc, bsd, *wrapped, *("prose before\n\n" + t + "\n\n" + "other prose " * 300 for t in wrapped), "left\nAll rights reserved.\nright"]
+    got = {}
+    for x in licenses.scan(rows(spark, texts)).collect():
+        got.setdefault(x.doc_id, {})[x.license] = x.dice
+    for i, name in enumerate(("MIT", "ISC", "BSD-3-Clause") * 3):
+        assert got[i][name] == max(got[i].values()) >= licenses.DICE, (i, got[i])
+    assert got[9] == {"All-Rights-Reserved": 1.0}
+
+
 ITEM = "A train leaves Paris with 30 cars and reaches Berlin after 12 hours. How many of the 30 cars were still there when it had arrived in Berlin?"
 CHANGED = "hello there. A train leaves Madrid with 45 cars and reaches Lisbon after 9 hours. How many of the 45 cars were still there when it had arrived in Lisbon? ok"
 
