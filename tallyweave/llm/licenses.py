@@ -4,6 +4,8 @@ Lines of a text, its blank-line paragraphs and the whole text are compared with
 whole and by paragraph, and with the notices and titles of longer ones. Sizes prune first: two sets of a and b bigrams can reach a Dice coefficient of t only if
 a >= b * t / (2 - t) and the reverse. Among the templates that remain for a unit, one whose rarer
 bigrams the unit lacks entirely cannot reach it either, which spares most units any comparison.
+Windows of the whole text, as long as a template and placed around hits of its rarer bigrams, find
+notices that stand inside a line or paragraph.
 """
 
 from __future__ import annotations
@@ -128,19 +130,31 @@ def _rarer(grams: list[str], low: int, dice: float) -> list[str]:
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, unit: lines, paragraphs of several lines, and whole texts of several paragraphs, normalised."""
+    """doc_id, whole, unit: lines, paragraphs of several lines, and whole texts, normalised; whole marks the last."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("_text")).where("_text is not null")
     plain = rows.select("doc_id", F.regexp_replace(F.lower("_text"), r"[^a-z0-9\n]+", " ").alias("t"))
     pieces = F.expr(r"concat(split(t, '\n'), filter(split(t, r'\n *(?:\n *)+'), p -> contains(p, '\n')), CASE WHEN rlike(t, r'\n *\n') THEN array(t) ELSE array() END)")
-    return plain.select("doc_id", F.explode(pieces).alias("u")).select("doc_id", F.trim(F.translate("u", "\n", " ")).alias("unit"))
+    # the last piece has all of the text: it is the whole, the only paragraph or the only line
+    return plain.select("doc_id", F.posexplode(F.reverse(pieces)).alias("at", "u")).select("doc_id", (F.col("at") == 0).alias("whole"), F.trim(F.translate("u", "\n", " ")).alias("unit"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", dice: float = DICE, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+def _window_test(name: str, text: str, grams: list[str], low: int, dice: float) -> str:
+    """The best window of as many words as ``text`` has, of those that hold one of its rarer bigrams."""
+    width = len(re.findall(r"[a-z0-9]+", text.lower())) - 1
+    overlap = next(o for o in range(len(grams) + 1) if 2 * o >= dice * (low + len(grams)) - 1e-9)
+    own, rare = _quoted(grams), _quoted(_rarer(grams, low, dice))
+    starts = f"array_distinct(flatten(transform(filter(sequence(0, size(listed) - 1), p -> array_contains({rare}, listed[p])), p -> sequence(greatest(0, p - {width - 1}), least(p, size(listed) - {width})))))"
+    value = f"2D * size(array_intersect(slice(listed, s + 1, {width}), {own})) / (size(array_distinct(slice(listed, s + 1, {width}))) + {len(grams)})"
+    return f"CASE WHEN size(listed) >= {width} AND size(array_intersect(grams, {own})) >= {overlap} THEN struct('{name}' AS license, array_max(transform({starts}, s -> {value})) AS dice) END"
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", dice: float = DICE, templates: tuple[tuple[str, str], ...] = TEMPLATES, inside: bool = False) -> DataFrame:
     """doc_id, license, dice, n_units: a row for each license found in a text, with its best Dice.
 
     Letters other than a-z and digits other than 0-9 separate words; A-Z count as a-z. Null and
     empty texts have no rows; rows that repeat an id are counted together. n_units counts the
-    lines, paragraphs and whole texts that reach ``dice`` for the license. Other columns are ignored.
+    lines, paragraphs and whole texts that reach ``dice`` for the license. ``inside`` adds licenses that only a window of words inside these
+    reaches, with 0 as n_units. Other columns are ignored.
     """
     grams = [(name, bigrams(t)) for name, t in templates]
     sizes = [_bounds(len(g), dice) for _, g in grams]
@@ -149,13 +163,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", dice: floa
     # a unit with n distinct bigrams has more than n words; one with a rare bigram has its longer word
     words = sorted({max(g.split(), key=len) for g in rare})
     long_enough = units(docs, id_col, text).where(F.length("unit") - F.length(F.translate("unit", " ", "")) >= fewest)
-    told = long_enough.select("doc_id", F.expr("inline(array(struct(split(unit, ' +') AS w)))")).where(f"arrays_overlap(w, {_quoted(words)})")
-    sets = told.select("doc_id", F.expr("inline(transform(array(w), w -> struct(array_distinct(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))) AS grams)))"))
-    likely = sets.where(F.size("grams").between(fewest, most)).where(f"arrays_overlap(grams, {_quoted(rare)})")
+    told = long_enough.select("doc_id", "whole", F.expr("inline(array(struct(split(unit, ' +') AS w)))")).where(f"arrays_overlap(w, {_quoted(words)})")
+    listed = told.select("doc_id", "whole", F.expr("inline(transform(array(w), w -> struct(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1])) AS listed)))"))
+    sets = listed.where(f"arrays_overlap(listed, {_quoted(rare)})").select("doc_id", "whole", "listed", F.expr("inline(array(struct(array_distinct(listed) AS grams)))"))
+    likely = sets.where(F.size("grams").between(fewest, most) | (F.col("whole") & F.lit(inside)))
     tests = ", ".join(
         f"CASE WHEN size(grams) BETWEEN {low} AND {high} THEN struct('{name}' AS license, 2D * size(array_intersect(grams, {_quoted(g)})) / (size(grams) + {len(g)}) AS dice) END"
         for (name, g), (low, high) in zip(grams, sizes, strict=True)
     )
-    hits = likely.select("doc_id", F.expr(f"inline(array(struct(filter(array({tests}), x -> x.dice >= {dice - 1e-9}D) AS hits)))"))
-    best = hits.select("doc_id", F.expr("inline(transform(array_distinct(transform(hits, x -> x.license)), n -> struct(n AS license, array_max(transform(filter(hits, x -> x.license = n), x -> x.dice)) AS dice)))"))
-    return best.groupBy("doc_id", "license").agg(F.round(F.max("dice"), 6).alias("dice"), F.count("*").alias("n_units"))
+    windows = ", ".join(_window_test(name, t, g, low, dice) for (name, t), (_, g), (low, _) in zip(templates, grams, sizes, strict=True))
+    reached = lambda tests: f"filter(array({tests}), x -> x.dice >= {dice - 1e-9}D)"
+    within = f"CASE WHEN whole THEN {reached(windows)} ELSE array() END" if inside else "array()"
+    hits = likely.select("doc_id", F.expr(f"inline(array(struct({reached(tests)} AS hits, cast({within} AS array<struct<license: string, dice: double>>) AS within)))"))
+    best = lambda hits, n: f"transform(array_distinct(transform({hits}, x -> x.license)), n -> struct({n} AS n, n AS license, array_max(transform(filter({hits}, x -> x.license = n), x -> x.dice)) AS dice))"
+    found = hits.select("doc_id", F.expr(f"inline(concat({best('hits', 1)}, {best('within', 0)}))"))
+    in_units, in_windows = (F.max(F.when(F.col("n") == n, F.col("dice"))) for n in (1, 0))
+    return found.groupBy("doc_id", "license").agg(F.round(F.coalesce(in_units, in_windows), 6).alias("dice"), F.sum("n").cast("long").alias("n_units"))

@@ -21,7 +21,7 @@ def op2_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents"), inside=True)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,6 +176,20 @@ def test_complete_license_texts(spark):
     assert got[9] == {"All-Rights-Reserved": 1.0}
 
 
+def test_licenses_inside_lines_and_paragraphs(spark):
+    prose = " ".join(f"word{i} of prose{i}" for i in range(100))
+    texts = [
+        "The text of this site is by many hands. Released under the MIT License. See the site for more.",
+        prose + "\nand it is Released under\nthe MIT License. See " + prose + "\n" + prose,
+        prose + " " + " ".join(licenses._MIT) + " " + prose + "\n\n" + prose,
+        prose + " Copyright 2020 A. Person. All rights reserved. " + prose,
+        "Released under no such license as MIT. All the rights are not reserved.",
+        "Released under the MIT License.",
+    ]
+    got = {(x.doc_id, x.license): (x.dice, x.n_units) for x in licenses.scan(rows(spark, texts), inside=True).collect()}
+    assert got == {(0, "MIT"): (1.0, 0), (1, "MIT"): (1.0, 0), (2, "MIT"): (1.0, 0), (3, "All-Rights-Reserved"): (1.0, 0), (5, "MIT"): (1.0, 1)}
+
+
 ITEM = "A train leaves Paris with 30 cars and reaches Berlin after 12 hours. How many of the 30 cars were still there when it had arrived in Berlin?"
 CHANGED = "hello there. A train leaves Madrid with 45 cars and reaches Lisbon after 9 hours. How many of the 45 cars were still there when it had arrived in Lisbon? ok"
 
