@@ -5,6 +5,7 @@ after a number turn into typed placeholders, the rest is lower-cased without pun
 of tokens of benchmark items and documents are joined by hash. The windows that a document shares
 with an item along one alignment must fill the item's slots consistently, one value of the document
 for one of the item and the reverse: then the passage is the item's, if with other parameters.
+Windows that are mostly slots say too little as templates; they are matched by their very words.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ _IS_NAME = """i > 0 AND lower(left(w[i], 1)) <> left(w[i], 1) AND upper(w[i]) <>
 
 
 def _canonical(rows: DataFrame, text: str) -> DataFrame:
-    """Adds h and slots of the words in ``text``.
+    """Adds h, slots and words of the words in ``text``.
 
     h has a hash for each token, for slots the code of their type's letter (n number, u unit, m
-    name) instead; slots has at, kind and value of each slot. Line ends count as sentence ends. A
+    name) instead; slots has at, kind and value of each slot; words has a hash for each token, slots
+    too, where there are slots. Line ends count as sentence ends. A
     word of punctuation alone is no token.
     """
     units = ", ".join(f"'{u}'" for u in UNITS)
@@ -47,32 +49,40 @@ def _canonical(rows: DataFrame, text: str) -> DataFrame:
       WHEN c IN ({units}) AND {_AFTER_NUMBER} THEN cast(ascii('u') as bigint)
       WHEN {_IS_NAME} THEN cast(ascii('m') as bigint)
       ELSE xxhash64(c) END"""
-    words = rf"split(btrim(replace(coalesce({text}, ''), '\n', '. '), ' \t\x0b\x0c\r'), r'[\x20\x09-\x0D]+')"
+    words = rf"split(btrim(replace(coalesce({text}, ''), '\n', '. '), ' \t\u000B\u000C\r'), r'[\x20\x09-\x0D]+')"
     places = "filter(transform(g, (x, i) -> struct(x AS h, cores[i] AS value)), s -> s.h IS NOT NULL)"
     slots = f"filter(transform({places}, (s, i) -> struct(i AS at, CASE WHEN s.h BETWEEN 0 AND 127 THEN char(s.h) END AS kind, s.value AS value)), s -> s.kind IS NOT NULL)"
     bound = f"""
       inline(transform(array({words}), w ->
         get(transform(array(transform(w, x -> {clean})), cores ->
           get(transform(array(transform(cores, (c, i) -> {code})), g ->
-            struct(filter(g, x -> x IS NOT NULL) AS h, CASE WHEN exists(g, x -> x BETWEEN 0 AND 127) THEN {slots} ELSE array() END AS slots)
+            struct(filter(g, x -> x IS NOT NULL) AS h, CASE WHEN exists(g, x -> x BETWEEN 0 AND 127) THEN {slots} ELSE array() END AS slots,
+              CASE WHEN exists(g, x -> x BETWEEN 0 AND 127) THEN transform({places}, s -> xxhash64(s.value)) ELSE array() END AS words)
           ), 0)), 0)))"""
     return rows.select(*[c for c in rows.columns if c != text], F.expr(bound))
 
 
 def _windows(rows: DataFrame, width: int) -> DataFrame:
-    """Adds at and key for each window of ``width`` tokens of which at least half are literal."""
+    """Adds at and key for each window of ``width`` tokens: of the template where at least half are literal, else of the words."""
     one = " , ".join(f"h[i + {j}]" for j in range(width))
+    words = " , ".join(f"words[i + {j}]" for j in range(width))
     literal = " + ".join(f"int(h[i + {j}] NOT BETWEEN 0 AND 127)" for j in range(width))
-    keys = f"CASE WHEN size(h) < {width} THEN array() WHEN size(slots) = 0 THEN transform(sequence(0, size(h) - {width}), i -> xxhash64({one})) ELSE transform(sequence(0, size(h) - {width}), i -> CASE WHEN 2 * ({literal}) >= {width} THEN xxhash64({one}) END) END"
-    bound = rows.select(*[c for c in rows.columns if c != "h"], F.expr(f"inline(transform(array(h), h -> struct({keys} AS keys)))"))
-    return bound.select(*[c for c in bound.columns if c != "keys"], F.posexplode("keys").alias("at", "key")).where("key is not null")
+    keys = f"CASE WHEN size(h) < {width} THEN array() WHEN size(slots) = 0 THEN transform(sequence(0, size(h) - {width}), i -> xxhash64({one})) ELSE transform(sequence(0, size(h) - {width}), i -> CASE WHEN 2 * ({literal}) >= {width} THEN xxhash64({one}) ELSE xxhash64('words', {words}) END) END"
+    bound = rows.select(*[c for c in rows.columns if c not in ("h", "words")], F.expr(f"inline(transform(array(h), h -> struct({keys} AS keys)))"))
+    return bound.select(*[c for c in bound.columns if c != "keys"], F.posexplode("keys").alias("at", "key"))
+
+
+def _by_words(width: int) -> F.Column:
+    """Whether a window at ``at`` has more slots than literal tokens."""
+    return F.expr(f"2 * size(filter(slots, x -> x.at BETWEEN at AND at + {width - 1})) > {width}")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, share: float = SHARE, run: int = RUN) -> DataFrame:
     """doc_id, mark (hash of the text), item_id, n_windows, covered, reworded: leaked items by document.
 
     An item leaks into a text that shares ``share`` of the item's windows, or ``run`` of them, over
-    consistent alignments. Items with fewer than ``width`` tokens are one window of their own size,
+    consistent alignments; the same share of its template windows alone is enough, as windows matched
+    by their words are lost where slots have other values. Items with fewer than ``width`` tokens are one window of their own size,
     if they have four tokens at least; shorter ones and empty ones cannot be matched. reworded:
     some slot has another value than in the item. Null texts leak nothing; rows that repeat an id and a text, or an
     item, count once. Other columns are ignored.
@@ -85,23 +95,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     found = None
     for size in [width, *sorted(short)]:
         items = _windows(b.where(F.size("h") >= width if size == width else F.size("h") == size), size)
-        items = items.select(F.col("item_id"), F.col("at").alias("item_at"), "key", F.col("slots").alias("item_slots"))
+        items = items.select(F.col("item_id"), F.col("at").alias("item_at"), "key", _by_words(size).alias("exact"), F.col("slots").alias("item_slots"))
         few = items.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
         hits = _windows(d, size).join(F.broadcast(items) if few else items, "key")
         inside = lambda s, at: F.expr(f"transform(filter({s}, x -> x.at BETWEEN {at} AND {at} + {size - 1}), x -> struct(x.at - {at} AS at, x.kind AS kind, x.value AS value))")
-        hits = hits.select("doc_id", "mark", "item_id", F.lit(size).alias("size"), "item_at", (F.col("at") - F.col("item_at")).alias("shift"), inside("slots", "at").alias("ds"), inside("item_slots", "item_at").alias("bs"))
+        hits = hits.select("doc_id", "mark", "item_id", F.lit(size).alias("size"), "exact", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), inside("slots", "at").alias("ds"), inside("item_slots", "item_at").alias("bs"))
         found = hits if found is None else found.unionByName(hits)
-    pairs = F.expr("transform(ds, (x, i) -> struct(x.kind AS kind, bs[i].value AS ours, x.value AS theirs))")
+    # windows matched by their words have the item's values, so they take no part in the check
+    pairs = F.expr("filter(transform(ds, (x, i) -> struct(x.kind AS kind, bs[i].value AS ours, x.value AS theirs)), p -> NOT exact)")
     # an alignment has one window for each of the item's positions at most, so its group is small
-    aligned = found.select("doc_id", "mark", "item_id", "size", "shift", "item_at", pairs.alias("pairs")).distinct()
-    aligned = aligned.groupBy("doc_id", "mark", "item_id", "size", "shift").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    aligned = found.select("doc_id", "mark", "item_id", "size", "exact", "shift", "item_at", pairs.alias("pairs")).distinct()
+    aligned = aligned.groupBy("doc_id", "mark", "item_id", "size", "exact", "shift").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     one_to_one = F.expr("size(pairs) = size(array_distinct(transform(pairs, p -> struct(p.kind, p.ours)))) AND size(pairs) = size(array_distinct(transform(pairs, p -> struct(p.kind, p.theirs))))")
-    covered = aligned.where(one_to_one).groupBy("doc_id", "mark", "item_id", "size").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), F.bool_or(F.expr("exists(pairs, p -> p.ours <> p.theirs)")).alias("reworded"))
+    places = lambda kept: F.size(F.array_distinct(F.flatten(F.collect_list(kept))))
+    covered = aligned.where(one_to_one).groupBy("doc_id", "mark", "item_id", "size").agg(
+        places(F.col("places")).alias("covered"), places(F.when(~F.col("exact"), F.col("places"))).alias("by_template"), F.bool_or(F.expr("exists(pairs, p -> p.ours <> p.theirs)")).alias("reworded")
+    )
     totals = None
     for size in [width, *sorted(short)]:
-        t = _windows(b.where(F.size("h") >= width if size == width else F.size("h") == size), size).select("item_id", "at").distinct().groupBy("item_id").agg(F.count("*").cast("int").alias("n_windows")).withColumn("size", F.lit(size))
+        t = _windows(b.where(F.size("h") >= width if size == width else F.size("h") == size), size).select("item_id", "at", _by_words(size).alias("exact")).distinct().groupBy("item_id").agg(F.count("*").cast("int").alias("n_windows"), F.count_if(~F.col("exact")).cast("int").alias("n_templates")).withColumn("size", F.lit(size))
         totals = t if totals is None else totals.unionByName(t)
-    enough = F.col("covered") >= F.least(F.lit(run), F.ceil(F.col("n_windows") * share))
+    reached = lambda got, of: F.col(got) >= F.least(F.lit(run), F.ceil(F.col(of) * share))
+    enough = reached("covered", "n_windows") | (F.col("n_templates") > 0) & reached("by_template", "n_templates")
     return covered.join(totals, ["item_id", "size"]).where(enough).select("doc_id", "mark", "item_id", "n_windows", "covered", "reworded")
 
 

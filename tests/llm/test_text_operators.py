@@ -209,6 +209,16 @@ def test_leaks(spark):
     assert leaks(spark, [], [ITEM]) == {} and leaks(spark, [ITEM], []) == {}
 
 
+def test_leaks_of_items_full_of_slots(spark):
+    items = ["Sort these numbers: 17, 4, 23, 8, 15, 42, 16, 99, 3, 71", "Who Wrote The Famous Novel About The Great White Whale", "Compute 12 15 18 21 24 27 30", "Add 5 6 7"]
+    docs = [*items, *("Some words come before it.\n" + t + "\nand some come after" for t in items), "Sort these numbers: 18, 5, 24, 9, 16, 43, 17, 98, 4, 72", "Compute 13 16 19 22 25 28 31 and add 8 9 10"]
+    got = leaks(spark, docs, items)
+    assert set(got) == {(i + 4 * k, i) for i in range(4) for k in (0, 1)} and all(r.covered == r.n_windows and not r.reworded for r in got.values())
+    mixed = "A box holds 5 red and 7 blue balls of one size. Its lots are 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18"
+    other = mixed.replace("5 red and 7", "6 red and 9").replace("1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18", "none at all")
+    assert leaks(spark, [other], [mixed])[0, 0].reworded
+
+
 def test_leaks_equal_brute_force_on_prose(spark):
     r = random.Random(5)
     vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6))) for _ in range(300)]
