@@ -77,17 +77,19 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+_GROUPS = "[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}"
 # What might be an identifier, by kind. The patterns overlap in what they match on purpose.
 _CANDIDATES: tuple[tuple[str, re.Pattern], ...] = (
     ("account", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")),
     ("account", re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){7,18}(?![0-9])")),
     ("address6", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Fa-f:])")),
+    ("address6", re.compile(rf"(?<![0-9A-Za-z:])(?:{_GROUPS}::(?:{_GROUPS})?|::{_GROUPS})(?![0-9A-Za-z:])")),
     ("contact", re.compile(r"(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")),
     ("contact", re.compile(r"(?<![0-9])0[0-9]{1,4}[ /-][0-9]{3,8}(?:[ -][0-9]{2,4}){0,3}(?![0-9])")),
     ("identity", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("identity", re.compile(r"(?<![A-Za-z0-9])[A-Z]{1,2}[0-9]{6,9}[A-Z]?(?![A-Za-z0-9])")),
     ("mac", re.compile(r"(?<![0-9A-Fa-f:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:-])")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,128}(?![A-Za-z0-9_+/-])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+")),
 )
 
 #: Words that make a kind likelier, or an innocent number, in the text before a span.
@@ -104,14 +106,13 @@ _WORD = re.compile(r"[a-z]+")
 
 
 def candidates(text: str) -> list[Span]:
-    """All spans any generator proposes, in no order of worth; texts without digits have none."""
-    if not _DIGIT.search(text):
-        return []
-    out = {}
+    """All spans any generator proposes, in no order of worth."""
+    out, digits, colons = {}, bool(_DIGIT.search(text)), "::" in text
     for kind, pattern in _CANDIDATES:
+        # the other kinds have digits, but for addresses and devices of letters alone
+        if not (digits or kind in ("secret", "mac") or kind == "address6" and colons):
+            continue
         for m in pattern.finditer(text):
-            if kind == "secret" and not _DIGIT.search(m.group()):
-                continue
             out[kind, m.start(), m.end()] = None
     return list(out)
 
@@ -126,7 +127,7 @@ def features(text: str, span: Span) -> list[float]:
     counts = Counter(s)
     groups = re.split(r"[^0-9A-Za-z]+", s)
     plain = "".join(c for c in s if c.isalnum())
-    iban = len(plain) >= 15 and plain[:2].isalpha() and plain[2:4].isdigit() and plain.isascii()
+    iban = 15 <= len(plain) <= 34 and plain[:2].isalpha() and plain[2:4].isdigit() and plain.isascii()
     words = set(_WORD.findall(before))
     hints = [float(bool(words & set(_HINTS[k]))) for k in _HINTS]
     return [
@@ -228,6 +229,7 @@ def _example(r: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
     any_of = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    letters = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(n))
     word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9)))
 
     def iban() -> str:
@@ -235,6 +237,10 @@ def _example(r: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
         check = 98 - int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
         return f"{country}{check:02d}{rest}"
 
+    def plain() -> tuple[str, ...]:
+        words = [word() for _ in range(r.randint(4, 8))]
+        return "-".join(words), "_".join(words), "/".join(words), "".join(w.title() for w in words), "".join(words), r.choice("-_=/x") * r.randint(16, 200)
+
     true = r.random() < 0.5
     kind = r.choice(ADDED)
     hint = r.choice(_HINTS[kind])
@@ -242,7 +248,8 @@ def _example(r: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
     if kind == "account":
         value = iban() if true and r.random() < 0.6 else r.choice((digits(r.randint(9, 18)), f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}"))
     elif kind == "address6":
-        value = ":".join(hexes(4) for _ in range(8)) if true else r.choice((f"{digits(2)}:{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(1)}:{digits(2)}:{digits(2)}:{digits(3)}"))
+        short = lambda: ":".join(hexes(r.randint(1, 4)) for _ in range(r.randint(1, 4)))
+        value = r.choice((":".join(hexes(4) for _ in range(8)), f"fe80::{short()}", f"2001:db8:{hexes(4)}::{short()}", f"{hexes(4)}::{short()}", "::1")) if true else r.choice((f"{r.choice(('a', 'dead', 'add', 'cafe', 'face'))}::{r.choice(('b', 'beef', 'add', 'bad', 'fade'))}", f"{digits(2)}:{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(1)}:{digits(2)}:{digits(2)}:{digits(3)}"))
     elif kind == "contact":
         value = r.choice((f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"0{digits(3)} {digits(6)}"))
     elif kind == "identity":
@@ -250,12 +257,14 @@ def _example(r: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
     elif kind == "mac":
         value = ":".join(hexes(2) for _ in range(6)) if true else "-".join(digits(2) for _ in range(6))
     else:
-        value = r.choice((hexes(40), hexes(32), any_of(r.randint(24, 44)), "AKIA" + any_of(16).upper(), "sk-" + any_of(32))) if true else r.choice((hexes(40), hexes(64), "".join(word() for _ in range(3)) + digits(2), f"{word()}-{word()}-{word()}-{digits(4)}", digits(16), f"{word()}/{word()}/{word()}{digits(1)}"))
+        value = r.choice((hexes(40), hexes(32), any_of(r.randint(24, 44)), any_of(r.randint(100, 400)), hexes(r.choice((128, 256))), letters(r.randint(20, 44)), "AKIA" + any_of(16).upper(), "sk-" + any_of(32))) if true else r.choice((hexes(40), hexes(64), "".join(word() for _ in range(3)) + digits(2), f"{word()}-{word()}-{word()}-{digits(4)}", digits(16), f"{word()}/{word()}/{word()}{digits(1)}", *plain()))
     weak = kind in ("account", "contact", "identity", "secret") and not (kind == "account" and value[:2].isalpha())
     if true:
         lead = lead.format(h=hint) if weak or r.random() < 0.6 else ""
     else:
         lead = r.choice(("", "{h} ", "{h}: ", "{h} number ", "")).format(h=r.choice(_HINTS["innocent"]))
+        if kind == "secret" and not _DIGIT.search(value) and r.random() < 0.5:
+            lead = f"{hint} "
         value = r.choice(("$", "#", "", "", "", "")) + value + r.choice(("", "", "", "%"))
     head = " ".join(word() for _ in range(r.randint(0, 8))) + " " + lead
     tail = ('"' if lead.endswith('"') else "") + r.choice((" ", ".", ", ", "\n")) + " ".join(word() for _ in range(r.randint(0, 6)))

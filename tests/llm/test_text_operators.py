@@ -287,3 +287,19 @@ def test_trees_on_fresh_examples():
         got = {s for s, _ in m.added([text], [[]])[0]}
         hit, said, true = hit + len(got & set(spans)), said + len(got), true + len(spans)
     assert hit / said > 0.95 and hit / true > 0.9
+
+
+def test_candidates_without_caps():
+    r = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    secrets = ["".join(r.choice(letters + "0123456789") for _ in range(n)) for n in (128, 129, 164, 400)]
+    secrets.append("".join(r.choice(letters) for _ in range(36)))
+    values = [("secret", f'api key = "{s}" it is', s) for s in secrets]
+    values += [("address6", f"the host {a} was down", a) for a in ("fe80::1", "::1", "fe80::1ff:fe23:4567:890a", "2001:db8::ff00:42:8329")]
+    for kind, text, value in values:
+        span = (kind, text.index(value), text.index(value) + len(value))
+        assert span in pii.candidates(text), text
+        assert span in {s for s, _ in pii.model().added([text], [[]])[0]}, text
+    for text in ("std::vector<a::b> x", "-" * 40 + "\nand " + "_" * 300, "a" * 300_000, "the well-known-but-long-hyphenated-word of it"):
+        assert pii.find([text], pii.model())[0] == ([], []), text[:50]
+    pii.features("9" * 300_000, ("secret", 0, 300_000)), pii.features("ab12" + "9" * 9000, ("secret", 0, 9004))
