@@ -156,7 +156,8 @@ def expected(rows):
     return sorted(out, key=str)
 
 
-def test_warc_round_trip(spark, tmp_path):
+def test_warc_round_trip(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_READERS", 8)
     rows = pages()
     df = spark.createDataFrame(rows, PAGES)
     layout = warc.Layout(shard_bytes=20_000, least_shards=3, roll_bytes=2_000)
@@ -180,11 +181,44 @@ def test_warc_of_nothing(spark, tmp_path):
 
 
 def test_cuts_split_skewed_ids(spark):
-    ids = [*range(1000), *range(10**17, 10**17 + 1000), -(2**62), 2**62]
-    df = spark.createDataFrame([(i, 1) for i in ids], "k long, s long")
-    begins = warc.cuts(df, "k", "s", 100)
-    sizes = Counter(sum(b <= i for b in begins) for i in ids)
-    assert max(sizes.values()) <= 100 and begins == sorted(begins) and len(begins) < 60
+    ids = [*range(1000), *range(10**17, 10**17 + 1000), -(2**62), 2**62, warc.NULL_KEY]
+    df = spark.createDataFrame([(i, s, 1) for i in ids for s in ([7] if i != 5 else range(500))], "key long, salt long, size long")
+    begins = warc.cuts(df, 100)
+    places = warc.Places(begins)
+    rows = [(r.key, r.salt) for r in df.collect()]
+    want = Counter(sorted(rows).index(r) // 100 for r in set(rows))
+    assert Counter(places.of(*r) for r in rows) == want and begins == sorted(begins) and len(begins) == 25
+    assert begins == warc.cuts(df.repartition(3), 100) and warc.cuts(df.limit(0), 100) == []
+
+
+def test_cuts_into_a_hundred_thousand_shards(spark):
+    df = spark.range(200_000).selectExpr("id * 977 AS key", "0L AS salt", "10L AS size")
+    begins = warc.cuts(df, 20)
+    assert len(begins) == 99_999 and begins[0] == (2 * 977, 0)
+
+
+def test_warc_of_thousands_of_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_READERS", 8)
+    df = spark.range(2600).selectExpr("id AS page_id", "'http://x' AS url", "repeat(cast(id % 2000 AS string), 40) AS html")
+    manifest = warc.write(df, f"file://{tmp_path}/m", warc.Layout(shard_bytes=230, least_shards=1, most_tasks=5))
+    got = warc.read(spark, manifest).collect()
+    assert len(list((tmp_path / "m").glob("*.warc.gz"))) > 2000
+    assert all(r.intact for r in got) and sorted(r.page_id for r in got) == list(range(2600))
+    assert {r.page_id: r.refers_to for r in got} == {i: i - 2000 if i >= 2000 and len(str(i - 2000)) * 40 >= 100 else None for i in range(2600)}
+
+
+def test_warc_repeats_of_one_id(spark, tmp_path):
+    shared = "z" * 150
+    rows = [(1, "u", shared, "m"), (1, "u", shared, "m"), (1, "v", shared, "m"), (2, "u", shared, "m"), (2, "u", shared, "m"), (None, "u", shared, "m"), *((3, "w", "a" * k, "m") for k in range(120, 160))]
+    df = spark.createDataFrame(rows, PAGES)
+    got = warc.read(spark, warc.write(df, f"file://{tmp_path}/r", warc.Layout(shard_bytes=500, least_shards=1))).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == expected(rows)
+    assert len(list((tmp_path / "r").glob("*.warc.gz"))) > 10
+
+
+def test_rows_known_to_revisit():
+    seen = warc.Seen(most=2)
+    assert [seen.certain_revisit(d, i) for d, i in ((b"a", 5), (b"a", 5), (b"a", 7), (b"a", None), (b"a", 3), (b"a", 5), (b"b", None), (b"b", 1), (b"c", 2), (b"a", 9))] == [False, False, True, True, False, True, False, False, False, False]
 
 
 SPOKEN = {"en": "the of and to in is that it was for on are with as his they at be this from", "fr": "le la les des et une dans que pour qui sur pas plus par avec tout mais nous", "de": "der die und das nicht ein eine mit auf von ist sich auch dem für werden"}
