@@ -1,6 +1,7 @@
 """Language, toxicity, near-duplicates, sharding and WARC: brute force, laws and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -117,18 +118,81 @@ def test_sharding_law(spark):
     assert sharding.assign(df.limit(0)).count() == 0
 
 
-def test_growth_and_weights_move_only_into_what_grows(spark):
-    ids = spark.range(4000)
-    place = lambda tree: {r.id: r.s for r in ids.select("id", sharding.descend(F.col("id"), tree).alias("s")).collect()}
-    for n in (1, 5, 16, 17):
-        before, after = place(sharding.topology(n)), place(sharding.topology(n + 1))
-        assert all(after[i] in (before[i], n) for i in before)
-    tree = sharding.topology(6)
-    heavier = tuple(sharding.Shard(s.number, s.region, s.rack, 3.0 if s.number == 2 else 1.0) for s in tree)
-    before, after = place(tree), place(heavier)
-    assert all(after[i] in (before[i], 2) for i in before) and 0.3 < sum(s == 2 for s in after.values()) / 4000 < 0.45
-    without = place(tuple(s for s in tree if s.number != 4))
-    assert all(without[i] == before[i] for i in before if before[i] != 4)
+def places(spark, tree, n=4000):
+    return {r.id: r.s for r in spark.range(n).select("id", sharding.descend("id", tree).alias("s")).collect()}
+
+
+def test_growth_takes_keys_only_into_a_new_region(spark):
+    for n in (4, 16):
+        before, after = places(spark, sharding.topology(n)), places(spark, sharding.topology(n + 1))
+        assert all(after[i] in (before[i], n) for i in before) and abs(sum(s == n for s in after.values()) / 4000 - 1 / (n + 1)) < 0.02
+    sizes = Counter(places(spark, sharding.topology(16)).values())
+    assert len(sizes) == 16 and min(sizes.values()) > 180 and max(sizes.values()) < 320
+
+
+def test_movement_is_confined_to_subtrees_whose_weights_change(spark):
+    shards = sharding.topology(12).shards  # regions 0-3, 4-7, 8-11; racks of two
+    region, rack = {s.number: s.region for s in shards}, {s.number: s.rack for s in shards}
+    before = places(spark, sharding.Tree(shards))
+    # a rack's own weight among its siblings: keys enter that rack, from its own region alone
+    after = places(spark, sharding.Tree(shards, regions=((0, 4.0), (1, 4.0), (2, 4.0)), racks=(((1, 3), 6.0),)))
+    moved = [i for i in before if before[i] != after[i]]
+    assert moved and all(rack[after[i]] == 3 and region[before[i]] == 1 for i in moved)
+    # a shard's weight, summed up the tree: into its region, in the region into its rack, in the rack into it
+    after = places(spark, sharding.Tree(tuple(sharding.Shard(s.number, s.region, s.rack, 4.0 if s.number == 5 else 1.0) for s in shards)))
+    moved = [i for i in before if before[i] != after[i]]
+    assert moved and all(region[after[i]] == 1 for i in moved)
+    assert all(rack[after[i]] == 2 for i in moved if region[before[i]] == 1) and all(after[i] == 5 for i in moved if rack[before[i]] == 2)
+    # a shard that goes inside a region of fixed weight moves keys inside that region alone
+    after = places(spark, sharding.Tree(tuple(s for s in shards if s.number != 9), regions=((2, 4.0),)))
+    assert all(region[before[i]] == region[after[i]] == 2 for i in before if before[i] != after[i]) and 9 not in after.values()
+
+
+def test_the_tree_decides_placement(spark):
+    flat = sharding.Tree(tuple(sharding.Shard(s, 0, 0) for s in range(8)))
+    named = sharding.Tree(tuple(sharding.Shard(s, 7 - s // 4, s // 2) for s in range(8)))
+    a, b, c = (places(spark, t, 1000) for t in (sharding.topology(8), flat, named))
+    assert sum(a[i] != b[i] for i in a) > 500 and sum(a[i] != c[i] for i in a) > 200
+    with pytest.raises(ValueError):
+        sharding.descend("id", sharding.Tree((sharding.Shard(0, 0, 0, 0.0),)))
+
+
+def test_descent_equals_plain_draws(spark):
+    r = random.Random(11)
+    tree = sharding.Tree(tuple(sharding.Shard(s, r.randrange(3), r.randrange(3), r.choice([0.0, 0.5, 1.0, 3.0])) for s in range(14)), regions=((1, 2.5),))
+    names = [n for part in (lambda x: (x[0], *x[1], *x[2]))(tree.children()) for n, _, _ in part]
+    hashed = spark.range(300).select("id", *(F.xxhash64("id", F.lit(n)).alias(n.replace("/", "_")) for n in names)).collect()
+    got = places(spark, tree, 300)
+    regions = {s.region for s in tree.shards}
+
+    def weight(part):
+        if len(part) == 1 and part[0] == 1:
+            return 2.5
+        return sum(s.weight for s in tree.shards if (s.region, s.rack, s.number)[: len(part)] == part)
+
+    for row in hashed:
+
+        def draw(part):
+            bits = (row["_".join(map(str, part))] % 2**64) >> 12
+            return -math.log((bits + 0.5) / 2**52) / weight(part)
+
+        at = ()
+        for level in range(3):
+            options = {(s.region, s.rack, s.number)[: level + 1] for s in tree.shards if (s.region, s.rack, s.number)[:level] == at and s.weight > 0}
+            at = min(options, key=draw)
+        assert at[2] == got[row.id] and at[0] in regions
+
+
+def test_slots_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 10)
+    df = spark.createDataFrame([(5, "same")] * 95 + [(5, "other")] * 3 + [(None, None)] * 21 + [(i, "x") for i in range(50)], "doc_id long, text string")
+    got = sharding.assign(df).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == 169 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert Counter((r.doc_id, r.size) for r in got)[(5, 5)] == 95
+    assert sorted(map(str, got)) == sorted(map(str, sharding.assign(df.repartition(3)).collect()))
 
 
 PAGES = "page_id long, url string, html string, member string"
