@@ -1,6 +1,6 @@
 """Quality rules and a hashed n-gram likelihood ratio, in DataFrame and SQL functions only.
 
-The n-grams are the first and the last three characters of every word, hashed into buckets. Two
+The n-grams are all words of a text and all pairs of neighbouring words, hashed into buckets. Two
 multinomials over the buckets, one of trusted documents and one of the whole corpus, give each
 bucket a log ratio of smoothed probabilities; a document's score is the mean over its n-grams, so
 length does not matter, and it passes if the score is not below a fixed threshold.
@@ -13,14 +13,18 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, SMOOTHING, THRESHOLD = 8192, 1.0, -0.5
+BUCKETS, SMOOTHING = 1 << 16, 1.0
+#: A text is rejected whose n-grams are on average a tenth less likely in trusted texts than anywhere.
+THRESHOLD = -0.1
 #: Trusted ids are broadcast up to this many rows (16 MB of ids) and joined by a shuffle beyond.
 MOST_BROADCAST = 2_000_000
 WHITE = " \t\n\x0b\x0c\r"
 
-_HEAD = f"cast(pmod(xxhash64('^', left(x, 3)), {BUCKETS}) as int)"
-_TAIL = f"cast(pmod(xxhash64('$', right(x, 3)), {BUCKETS}) as int)"
 _WORDS = r"split(_trimmed, r'[\x20\x09-\x0D]+')"
+#: Buckets of the words w of a text, then of its word pairs.
+_GRAMS = f"""concat(
+  transform(w, x -> cast(pmod(xxhash64(x), {BUCKETS}) as int)),
+  CASE WHEN size(w) < 2 THEN array() ELSE transform(sequence(1, size(w) - 1), i -> cast(pmod(xxhash64(w[i - 1], w[i]), {BUCKETS}) as int)) END)"""
 
 
 def _with_words(docs: DataFrame, text: str) -> DataFrame:
@@ -31,12 +35,9 @@ def _with_words(docs: DataFrame, text: str) -> DataFrame:
 def bucket_counts(docs: DataFrame, text: str = "text", trusted: str = "trusted") -> dict[int, tuple[int, int]]:
     """bucket -> (occurrences in the corpus, occurrences in trusted rows): at most BUCKETS entries."""
     words = _with_words(docs.select(F.col(text).alias("_source"), F.col(trusted).alias("_trusted")), "_source").where("_trimmed <> ''")
-    spread = words.select("_trusted", F.explode(F.expr(_WORDS)).alias("x"))
-    # words first meet in partial counts on their edges; the shuffle carries pairs of buckets
-    edges = spread.selectExpr("_trusted", f"{_HEAD} AS h", f"{_TAIL} AS t")
-    one = edges.groupBy("h", "t").agg(F.count("*").alias("n"), F.count_if("_trusted").alias("m"))
-    both = one.selectExpr("h AS bucket", "n", "m").unionAll(one.selectExpr("t AS bucket", "n", "m"))
-    return {r[0]: (r[1], r[2]) for r in both.groupBy("bucket").agg(F.sum("n"), F.sum("m")).collect()}
+    grams = words.selectExpr("_trusted", f"explode(get(transform(array({_WORDS}), w -> {_GRAMS}), 0)) AS bucket")
+    # each task's n-grams meet in partial counts, a row a bucket, before anything moves
+    return {r[0]: (r[1], r[2]) for r in grams.groupBy("bucket").agg(F.count("*"), F.count_if("_trusted")).collect()}
 
 
 def weights(counts: dict[int, tuple[int, int]], smoothing: float = SMOOTHING) -> list[float]:
@@ -94,7 +95,7 @@ def measure(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text:
     Columns other than the two named are ignored.
     """
     rows = _with_words(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_source")), "_source")
-    score = f"aggregate(w, 0D, (a, x) -> a + {_literal(ratios)}[{_HEAD}] + {_literal(ratios)}[{_TAIL}], a -> a / greatest(1, 2 * size(w)))"
+    score = f"aggregate({_GRAMS}, 0D, (a, x) -> a + {_literal(ratios)}[x], a -> a / greatest(1, 2 * size(w) - 1))"
     lines = r"filter(split(_text, '\n'), l -> btrim(l, _white) <> '')"
     by_words = rows.withColumn("_white", F.lit(WHITE)).select(
         "doc_id",

@@ -1,12 +1,14 @@
 """Byte BPE, quality rules, license scan, decontamination and personal data: small cases and brute force."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
 from collections import Counter
 
 import pytest
+import xxhash
 
 from tallyweave.llm import bpe, decontam, licenses, pii, quality
 
@@ -106,26 +108,64 @@ def quality_texts():
     return ODD + made + clean + clean[:2]
 
 
+def gram_buckets(t):
+    """Buckets by XXH64 as Spark computes it: seed 42, the hash of one value seeds the next."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    one = lambda x, seed=42: xxhash.xxh64_intdigest(x.encode(), seed)
+    return [one(x) % quality.BUCKETS for x in w] + [one(y, one(x)) % quality.BUCKETS for x, y in zip(w, w[1:])]
+
+
+def brute_scores(texts, trusted):
+    corpus, good = Counter(), Counter()
+    for i, t in enumerate(texts):
+        corpus.update(gram_buckets(t))
+        good.update(gram_buckets(t) if i in trusted else ())
+    share = lambda c, b: math.log((c[b] + 1) / (c.total() + quality.BUCKETS))
+    ratio = lambda b: round(share(good, b) - share(corpus, b), 4) if good else 0.0
+    return [sum(map(ratio, g)) / len(g) if (g := gram_buckets(t)) else 0.0 for t in texts]
+
+
 def test_quality_equals_brute_force(spark):
     texts = quality_texts()
-    trusted = spark.createDataFrame([(i,) for i in range(39, 49)] + [(None,), (40,)], "doc_id long")
+    trusted = spark.createDataFrame([(i,) for i in range(39, 51)] + [(None,), (40,)], "doc_id long")
     df = rows(spark, texts, clash=True)
     got = {r.doc_id: r for r in quality.judge(df, trusted).collect()}
     assert len(got) == len(texts)
+    scores = brute_scores(texts, set(range(39, 51)))
     for i, t in enumerate(texts):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base_measures(t)
-        assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
-    assert all(got[i].kept for i in range(39, 49)) and got[len(texts) - 1].score == got[40].score
+        assert abs(r.score - scores[i]) < 2e-6 and r.kept == (not r.base_failed and scores[i] >= quality.THRESHOLD)
+    assert all(got[i].kept for i in range(39, 51)) and got[len(texts) - 1].score == got[40].score
+    assert any(not r.kept and not r.base_failed for r in got.values())
+
+
+def test_quality_sees_inside_words_and_their_order(spark):
+    r = random.Random(13)
+    words = ["".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(120)]
+    good = [" ".join(words[(7 * i + j) % 120] for j in range(100)) for i in range(20)]
+    garbled = " ".join(w[:3] + w[3:6][::-1] + w[6:] for w in good[0].split())
+    shuffled = " ".join(sorted(good[0].split(), key=lambda w: w[::-1]))
+    texts = [*good, *[garbled, shuffled] * 8]
+    got = {x.doc_id: x for x in quality.judge(rows(spark, texts), spark.range(20).toDF("doc_id")).collect()}
+    assert min(got[i].score for i in range(20)) > max(got[20].score, got[21].score) and got[20].score < got[21].score
 
 
 def test_quality_counts_equal_brute_force(spark):
-    df = rows(spark, ["aa bb aa", "bb", None, ""]).selectExpr("text", "doc_id = 0 AS trusted")
-    counts = quality.bucket_counts(df)
-    assert sum(n for n, _ in counts.values()) == 8 and sum(m for _, m in counts.values()) == 6
+    texts = ["aa bb aa", "bb", None, "", "aa bb\ncc\tdd " * 30, "aa bb aa"]
+    df = rows(spark, texts).selectExpr("text", "doc_id in (0, 4) AS trusted")
+    want = {b: (n, sum(gram_buckets(t).count(b) for t in (texts[0], texts[4]))) for b, n in Counter(g for t in texts for g in gram_buckets(t)).items()}
+    assert quality.bucket_counts(df) == want
     assert quality.weights({}) == [0.0] * quality.BUCKETS
 
 
+def test_quality_of_repeated_rows_and_long_texts(spark):
+    long = " ".join(f"w{i % 5000}x{i // 5000}" for i in range(300_000))
+    df = spark.createDataFrame([(1, "plain words here " * 30), (1, "plain words here " * 30), (1, "others " * 60), (2, long), (None, "x y")], TEXTS)
+    got = sorted((str(r.doc_id), r.n_words, r.n_repeat_words, r.kept) for r in quality.judge(df, df.where("doc_id = 2").select("doc_id")).collect())
+    assert [g[1:3] for g in got] == [(60, 60), (90, 90), (90, 90), (300_000, 0), (2, 0)] and got[3][3]
+
+
 def test_quality_without_trusted_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long")
     got = quality.judge(rows(spark, ["w " * 60, "u v " * 3]), none).collect()
