@@ -1,7 +1,9 @@
 """Benchmark decontamination by template windows, in DataFrame and SQL functions only.
 
-Words become canonical tokens: numbers, names (words with a capital inside a sentence) and units
-after a number turn into typed placeholders, the rest is lower-cased without punctuation. Windows
+Words become canonical tokens: numbers, names (words with a capital inside a sentence, and at its
+start unless they are words that sentences often open with) and units after a number turn into typed
+placeholders, the rest is lower-cased without punctuation. In scripts that put no spaces between
+words every character is a token. Windows
 of tokens of benchmark items and documents are joined by hash. The windows that a document shares
 with an item along one alignment must fill the item's slots consistently, one value of the document
 for one of the item and the reverse: then the passage is the item's, if with other parameters.
@@ -14,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDTH, SHARE, RUN = 8, 0.5, 13
+#: Items with fewer tokens are compared with whole texts only.
+SHORTEST = 4
 #: Up to so many benchmark windows are broadcast (some 40 MB); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -24,11 +28,24 @@ UNITS = (
     "mph kmh km/h hz khz mhz ghz w kw kwh v a n j kj cal kcal pa kpa k c f percent % dollar dollars cent cents euro euros usd eur gbp kb mb gb tb"
 ).split()
 
+#: Words that open sentences, so that a capital there does not make them names.
+OPENERS = (
+    "a about above according across add after again all also although among an and another any are as at based be because before below between both but by "
+    "calculate can choose compare complete compute consider convert could count define describe despite determine did do does draw due during each either estimate "
+    "evaluate even every evaluates explain few fill find first five following for four from given give had has have he her here his how however i identify if imagine "
+    "in inside instead is it its just later let like list look make many match may might more most much multiply must my name near next no not note now of on once one "
+    "only or order other our out over per pick place please put read round second select several she should show simplify since sixty solve some sort state subtract "
+    "such suppose take tell that the their them then there these they this those though three through to two under until up use using was we were what when where "
+    "whether which while who whom whose why will with without would write yes yet you your"
+).split()
+
+#: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, and Chinese characters.
+_UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF]"
 _PUNCTUATION = r'.,;:!?()[]{}"“”«»…'
 _IS_NUMBER = r"rlike(w[i], r'^[(\[\"$€£+-]*[0-9][0-9.,:/]*[%)\].,;:!?\"]*$')"
 _AFTER_NUMBER = "i > 0 AND right(w[greatest(i - 1, 0)], 1) BETWEEN '0' AND '9'"
-_IS_NAME = """i > 0 AND lower(left(w[i], 1)) <> left(w[i], 1) AND upper(w[i]) <> w[i]
-          AND right(w[greatest(i - 1, 0)], 1) NOT IN ('.', '!', '?', ':', '"')"""
+_IS_NAME = f"""lower(left(w[i], 1)) <> left(w[i], 1) AND upper(w[i]) <> w[i]
+          AND (i > 0 AND right(w[greatest(i - 1, 0)], 1) NOT IN ('.', '!', '?', ':', '"') OR c NOT IN ({", ".join(f"'{x}'" for x in OPENERS)}))"""
 
 
 def _canonical(rows: DataFrame, text: str) -> DataFrame:
@@ -49,7 +66,8 @@ def _canonical(rows: DataFrame, text: str) -> DataFrame:
       WHEN c IN ({units}) AND {_AFTER_NUMBER} THEN cast(ascii('u') as bigint)
       WHEN {_IS_NAME} THEN cast(ascii('m') as bigint)
       ELSE xxhash64(c) END"""
-    words = rf"split(btrim(replace(coalesce({text}, ''), '\n', '. '), ' \t\u000B\u000C\r'), r'[\x20\x09-\x0D]+')"
+    whole = f"CASE WHEN rlike({text}, r'{_UNSPACED}') THEN regexp_replace({text}, r'({_UNSPACED})', ' $1 ') ELSE coalesce({text}, '') END"
+    words = rf"split(btrim(replace({whole}, '\n', '. '), ' \t\u000B\u000C\r'), r'[\x20\x09-\x0D]+')"
     places = "filter(transform(g, (x, i) -> struct(x AS h, cores[i] AS value)), s -> s.h IS NOT NULL)"
     slots = f"filter(transform({places}, (s, i) -> struct(i AS at, CASE WHEN s.h BETWEEN 0 AND 127 THEN char(s.h) END AS kind, s.value AS value)), s -> s.kind IS NOT NULL)"
     bound = f"""
@@ -62,19 +80,30 @@ def _canonical(rows: DataFrame, text: str) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != text], F.expr(bound))
 
 
-def _windows(rows: DataFrame, width: int) -> DataFrame:
-    """Adds at and key for each window of ``width`` tokens: of the template where at least half are literal, else of the words."""
-    one = " , ".join(f"h[i + {j}]" for j in range(width))
-    words = " , ".join(f"words[i + {j}]" for j in range(width))
-    literal = " + ".join(f"int(h[i + {j}] NOT BETWEEN 0 AND 127)" for j in range(width))
-    keys = f"CASE WHEN size(h) < {width} THEN array() WHEN size(slots) = 0 THEN transform(sequence(0, size(h) - {width}), i -> xxhash64({one})) ELSE transform(sequence(0, size(h) - {width}), i -> CASE WHEN 2 * ({literal}) >= {width} THEN xxhash64({one}) ELSE xxhash64('words', {words}) END) END"
-    bound = rows.select(*[c for c in rows.columns if c not in ("h", "words")], F.expr(f"inline(transform(array(h), h -> struct({keys} AS keys)))"))
-    return bound.select(*[c for c in bound.columns if c != "keys"], F.posexplode("keys").alias("at", "key"))
+def _windows(rows: DataFrame, sizes: list[int], whole: bool = False) -> DataFrame:
+    """Adds size, at and key for each window of one of ``sizes`` tokens; ``whole`` leaves those of a row's own size.
+
+    The key is of the template where at least half of the tokens are literal, else of the words. Windows
+    below SHORTEST tokens are whole texts, by their words.
+    """
+
+    def keys(width: int) -> str:
+        one = ", ".join(f"h[i + {j}]" for j in range(width))
+        words = f"xxhash64('words', {', '.join(f'words[i + {j}]' for j in range(width))})"
+        literal = " + ".join(f"int(h[i + {j}] NOT BETWEEN 0 AND 127)" for j in range(width))
+        fits = f"size(h) >= {width}" if width >= SHORTEST else f"size(h) = {width}"
+        mixed = f"CASE WHEN 2 * ({literal}) >= {width} THEN xxhash64({one}) ELSE {words} END" if width >= SHORTEST else words
+        return f"CASE WHEN NOT ({fits}) THEN array() WHEN size(slots) = 0 THEN transform(sequence(0, size(h) - {width}), i -> xxhash64({one})) ELSE transform(sequence(0, size(h) - {width}), i -> {mixed}) END"
+
+    kept = [c for c in rows.columns if c not in ("h", "words", "slots")]
+    made = ", ".join(f"struct({n} AS size, {keys(n)} AS keys)" for n in sizes)
+    own = f"filter(array({made}), x -> x.size = least(size(h), {max(sizes)}))" if whole else f"array({made})"
+    bound = rows.select(*kept, "slots", F.expr(f"inline(flatten(transform(array(h), h -> {own})))")).where("size(keys) > 0")
+    return bound.select(*kept, "slots", "size", F.posexplode("keys").alias("at", "key"))
 
 
-def _by_words(width: int) -> F.Column:
-    """Whether a window at ``at`` has more slots than literal tokens."""
-    return F.expr(f"2 * size(filter(slots, x -> x.at BETWEEN at AND at + {width - 1})) > {width}")
+# Whether a window at ``at`` is matched by its words: it has more slots than literal tokens, or is short.
+_BY_WORDS = f"2 * size(filter(slots, x -> x.at BETWEEN at AND at + size - 1)) > size OR size < {SHORTEST} AND size(slots) > 0"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, share: float = SHARE, run: int = RUN) -> DataFrame:
@@ -82,25 +111,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
 
     An item leaks into a text that shares ``share`` of the item's windows, or ``run`` of them, over
     consistent alignments; the same share of its template windows alone is enough, as windows matched
-    by their words are lost where slots have other values. Items with fewer than ``width`` tokens are one window of their own size,
-    if they have four tokens at least; shorter ones and empty ones cannot be matched. reworded:
-    some slot has another value than in the item. Null texts leak nothing; rows that repeat an id and a text, or an
-    item, count once. Other columns are ignored.
+    by their words are lost where slots have other values. Items with fewer than ``width`` tokens are one
+    window of their own size; those with fewer than four leak only into texts that are the same words and
+    nothing else, empty ones never. reworded: some slot has another value than in the item. Null texts
+    leak nothing; rows that repeat an id and a text, or an item, count once. Other columns are ignored.
     """
     mark = F.xxhash64(text).alias("mark")
     d = _canonical(docs.select(F.col(id_col).alias("doc_id"), mark, F.col(text).cast("string").alias("_text")), "_text")
-    b = _canonical(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).cast("string").alias("_text")).where("_text is not null").distinct(), "_text")
-    # at most width - 4 sizes, each below width
-    short = [r[0] for r in b.select(F.size("h").alias("n")).where(f"n BETWEEN 4 AND {width - 1}").distinct().collect()]
-    found = None
-    for size in [width, *sorted(short)]:
-        items = _windows(b.where(F.size("h") >= width if size == width else F.size("h") == size), size)
-        items = items.select(F.col("item_id"), F.col("at").alias("item_at"), "key", _by_words(size).alias("exact"), F.col("slots").alias("item_slots"))
-        few = items.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-        hits = _windows(d, size).join(F.broadcast(items) if few else items, "key")
-        inside = lambda s, at: F.expr(f"transform(filter({s}, x -> x.at BETWEEN {at} AND {at} + {size - 1}), x -> struct(x.at - {at} AS at, x.kind AS kind, x.value AS value))")
-        hits = hits.select("doc_id", "mark", "item_id", F.lit(size).alias("size"), "exact", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), inside("slots", "at").alias("ds"), inside("item_slots", "item_at").alias("bs"))
-        found = hits if found is None else found.unionByName(hits)
+    b = _canonical(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).cast("string").alias("_text")).where("_text is not null").distinct(), "_text").where("size(h) > 0")
+    sizes = sorted(r[0] for r in b.select(F.least(F.size("h"), F.lit(width))).distinct().collect()) or [width]  # at most ``width``
+    windows = _windows(b, sizes if width in sizes else [*sizes, width], whole=True)
+    items = windows.select("item_id", "size", F.col("at").alias("item_at"), "key", F.expr(_BY_WORDS).alias("exact"), F.col("slots").alias("item_slots"))
+    few = items.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    # documents are read and their words made canonical once, whatever the sizes of the items
+    found = _windows(d, sizes).join(F.broadcast(items) if few else items, ["size", "key"])
+    inside = lambda s, at: F.expr(f"transform(filter({s}, x -> x.at BETWEEN {at} AND {at} + size - 1), x -> struct(x.at - {at} AS at, x.kind AS kind, x.value AS value))")
+    found = found.select("doc_id", "mark", "item_id", "size", "exact", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), inside("slots", "at").alias("ds"), inside("item_slots", "item_at").alias("bs"))
     # windows matched by their words have the item's values, so they take no part in the check
     pairs = F.expr("filter(transform(ds, (x, i) -> struct(x.kind AS kind, bs[i].value AS ours, x.value AS theirs)), p -> NOT exact)")
     # an alignment has one window for each of the item's positions at most, so its group is small
@@ -111,10 +137,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     covered = aligned.where(one_to_one).groupBy("doc_id", "mark", "item_id", "size").agg(
         places(F.col("places")).alias("covered"), places(F.when(~F.col("exact"), F.col("places"))).alias("by_template"), F.bool_or(F.expr("exists(pairs, p -> p.ours <> p.theirs)")).alias("reworded")
     )
-    totals = None
-    for size in [width, *sorted(short)]:
-        t = _windows(b.where(F.size("h") >= width if size == width else F.size("h") == size), size).select("item_id", "at", _by_words(size).alias("exact")).distinct().groupBy("item_id").agg(F.count("*").cast("int").alias("n_windows"), F.count_if(~F.col("exact")).cast("int").alias("n_templates")).withColumn("size", F.lit(size))
-        totals = t if totals is None else totals.unionByName(t)
+    totals = items.select("item_id", "size", "item_at", "exact").distinct().groupBy("item_id", "size").agg(F.count("*").cast("int").alias("n_windows"), F.count_if(~F.col("exact")).cast("int").alias("n_templates"))
     reached = lambda got, of: F.col(got) >= F.least(F.lit(run), F.ceil(F.col(of) * share))
     enough = reached("covered", "n_windows") | (F.col("n_templates") > 0) & reached("by_template", "n_templates")
     return covered.join(totals, ["item_id", "size"]).where(enough).select("doc_id", "mark", "item_id", "n_windows", "covered", "reworded")

@@ -276,6 +276,88 @@ def test_leaks_equal_brute_force_on_prose(spark):
     assert set(leaks(spark, docs, items)) == want
 
 
+def plain_tokens(t):
+    """(kind or None, core) of each token, by the rules of the operator, word by word."""
+    t = re.sub(r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF])", r" \1 ", t or "")
+    w, out = [x for x in re.split(r"[\x20\x09-\x0D]+", t.replace("\n", ". ")) if x], []
+    for i, x in enumerate(w):
+        c, before = "".join(ch for ch in x if ch not in decontam._PUNCTUATION).lower(), w[i - 1] if i else ""
+        unit = c in decontam.UNITS
+        if not c:
+            continue
+        if "a" <= x[0] <= "z" and not unit:
+            out.append((None, c))
+        elif x < "A" and re.fullmatch(r"[(\[\"$€£+-]*[0-9][0-9.,:/]*[%)\].,;:!?\"]*", x):
+            out.append(("n", c))
+        elif unit and before[-1:].isdigit():
+            out.append(("u", c))
+        elif x[0].lower() != x[0] and x.upper() != x and (before and before[-1] not in '.!?:"' or c not in decontam.OPENERS):
+            out.append(("m", c))
+        else:
+            out.append((None, c))
+    return out
+
+
+def plain_leak(doc, item):
+    """(n_windows, covered, reworded) of a leak, else None."""
+    size = min(8, len(item))
+    if size < 4:
+        same = [c for _, c in doc] == [c for _, c in item] and size and any(k for k, _ in doc) == any(k for k, _ in item)
+        return (1, 1, False) if same else None
+    windows = lambda ts: [ts[i : i + size] for i in range(len(ts) - size + 1)]
+    by_words = lambda x: 2 * sum(k is not None for k, _ in x) > size
+    key = lambda x: (by_words(x), tuple(c if by_words(x) or k is None else k for k, c in x), size)
+    groups = {}
+    for at, x in enumerate(windows(doc)):
+        for place, y in enumerate(windows(item)):
+            if key(x) == key(y):
+                places, pairs = groups.setdefault((by_words(y), at - place), (set(), set()))
+                places.add(place)
+                pairs.update(() if by_words(y) else ((k, o, c) for (k, c), (_, o) in zip(x, y) if k))
+    good = {g: v for g, v in groups.items() if len(v[1]) == len({(k, o) for k, o, _ in v[1]}) == len({(k, c) for k, _, c in v[1]})}
+    covered = set().union(*(p for p, _ in good.values()))
+    templates = set().union(*(p for (exact, _), (p, _) in good.items() if not exact))
+    n, n_templates = len(windows(item)), sum(not by_words(x) for x in windows(item))
+    if len(covered) >= min(13, -(-n // 2)) > 0 or n_templates and len(templates) >= min(13, -(-n_templates // 2)):
+        return n, len(covered), any(o != c for _, pairs in good.values() for _, o, c in pairs)
+    return None
+
+
+def test_leaks_equal_brute_force_with_slots(spark):
+    r = random.Random(15)
+    names, nouns = ["Tom", "Ben", "Ana", "Zoe", "Kim"], "apples pears boxes coins cards".split()
+    frames = [
+        "{a} has {x} {n}. {a} buys {y} {n}. {a} eats {z} {n}. {a} has many left.",
+        "A train leaves {a} with {x} cars and reaches {b} after {y} hours. How far is it from {a} to {b} if it goes {z} km an hour?",
+        "{a} and {b} share {x} {n}. If {b} takes {y} kg more than {a}, who has {z} kg?",
+        "Sort these: {x}, {y}, {z}, {x}, 5, 6, 7, 8, {y}, 12",
+        "{a} runs {x} km",
+        "Compute {x} plus {y} minus {z} now",
+    ]
+    fill = lambda f: f.format(a=r.choice(names), b=r.choice(names), n=r.choice(nouns), x=r.randint(2, 60), y=r.randint(2, 60), z=r.randint(2, 60))
+    items = [fill(f) for f in frames for _ in range(2)] + ["日本の首都はどこですか", "日本", "Two words", "ok", "..."]
+    docs = [r.choice(["", "Some words stand before it. ", "and so "]) + fill(r.choice(frames)) + r.choice(["", " And more after it.", "\nthe end"]) for _ in range(150)]
+    docs += [i.replace("Tom", "Pia") for i in items] + ["質問: 日本の首都はどこですか。東京です", "Two words", "two words!", "Two words more", *ODD, items[0]]
+    got = {k: (x.n_windows, x.covered, x.reworded) for k, x in leaks(spark, docs, items).items()}
+    doc_tokens, item_tokens = [plain_tokens(t) for t in docs], [plain_tokens(t) for t in items]
+    want = {(i, j): found for i, d in enumerate(doc_tokens) for j, t in enumerate(item_tokens) if (found := plain_leak(d, t))}
+    assert got == want and sum(x[2] for x in want.values()) > 30
+
+
+def test_names_that_open_sentences_are_slots(spark):
+    item = "Tom has 3 apples. Tom buys 7 apples. Tom eats 4 apples. Tom has n left."
+    docs = ["Ben has 12 apples. Ben buys 5 apples. Ben eats 9 apples. Ben has n left.", "Ben has 12 apples. Ann buys 5 apples. Joe eats 9 apples. Sue has n left."]
+    assert [(k, x.reworded) for k, x in leaks(spark, docs, [item]).items()] == [((0, 0), True)]
+
+
+def test_leaks_in_long_texts_and_repeated_rows(spark):
+    long = " ".join(f"w{i}" for i in range(150_000))
+    df = spark.createDataFrame([(1, long + "\n" + ITEM + "\n" + long), (2, ITEM), (2, ITEM), (2, "other"), (None, ITEM)], TEXTS)
+    b = spark.createDataFrame([(0, ITEM), (0, ITEM), (1, None)], "item_id long, text string")
+    got = decontam.leaks(df, b).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "2", "None"] and len({r.n_windows for r in got}) == 1
+
+
 def test_without_leaks_keeps_columns_and_other_rows(spark):
     docs = rows(spark, [ITEM, "fine", None, CHANGED]).selectExpr("doc_id", "text", "'y' AS mark", "3 AS h")
     same_id = docs.where("doc_id = 1").selectExpr("cast(0 as bigint) AS doc_id", "text", "mark", "h")
