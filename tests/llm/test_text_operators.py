@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import textwrap
@@ -230,6 +231,50 @@ def test_licenses_inside_lines_and_paragraphs(spark):
     assert got == {(0, "MIT"): (1.0, 0), (1, "MIT"): (1.0, 0), (2, "MIT"): (1.0, 0), (3, "All-Rights-Reserved"): (1.0, 0), (5, "MIT"): (1.0, 1)}
 
 
+def test_license_windows_equal_brute_force(spark):
+    r = random.Random(16)
+    templates = licenses.TEMPLATES[:16] + (("MIT", licenses._MIT[1]),)
+    texts = [*ODD]
+    for _ in range(60):
+        words = []
+        for _ in range(r.randint(1, 4)):
+            words += [r.choice(["stone", "river", "the", "license", "see"]) for _ in range(r.randint(0, 25))]
+            words += [w for w in r.choice(templates)[1].split() if r.random() > 0.06]
+        texts.append("".join(w + r.choice([" ", " ", " ", " ", "\n", ", "]) for w in words))
+    texts += texts[-3:]
+    got = {(x.doc_id, x.license): x.dice for x in licenses.scan(rows(spark, texts, clash=True), templates=templates, inside=True).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[a-z0-9]+", (t or "").lower())
+        units = [re.findall(r"[a-z0-9]+", u.lower()) for u in [*(t or "").split("\n"), *re.split(r"\n\W*\n", t or "")]]
+        for name, template in templates:
+            n = len(re.findall(r"[a-z0-9]+", template.lower()))
+            for inner, parts in ((0, units), (1, [words[k : k + n] for k in range(len(words) - n + 1)])):
+                best = max((dice(" ".join(p), template) for p in parts), default=0)
+                if best >= licenses.DICE - 1e-9:
+                    want.setdefault((i, name), {}).setdefault(inner, []).append(best)
+    want = {k: round(max(v[min(v)]), 6) for k, v in want.items()}
+    assert got == want and len(want) > 40
+
+
+def test_licenses_in_long_texts_and_repeated_rows(spark):
+    long = " ".join(f"word{i}" for i in range(200_000))
+    df = spark.createDataFrame([(1, long + "\nReleased under the MIT License.\n" + long), (2, "All rights reserved."), (2, "All rights reserved."), (None, "All rights reserved.")], TEXTS)
+    got = {(x.doc_id, x.license): (x.dice, x.n_units) for x in licenses.scan(df, inside=True).collect()}
+    assert got == {(1, "MIT"): (1.0, 1), (2, "All-Rights-Reserved"): (1.0, 2), (None, "All-Rights-Reserved"): (1.0, 1)}
+
+
+def test_whole_licenses_of_the_system(spark):
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}
+    there = [n for n in names if os.path.isfile(f"{folder}/{n}")]
+    if not there:
+        pytest.skip("no license texts on this system")
+    texts = [open(f"{folder}/{n}", encoding="utf-8").read() for n in there]
+    got = {(x.doc_id, x.license): x.dice for x in licenses.scan(rows(spark, texts), inside=True).collect()}
+    assert all(got[i, names[n]] >= 0.95 for i, n in enumerate(there))
+
+
 ITEM = "A train leaves Paris with 30 cars and reaches Berlin after 12 hours. How many of the 30 cars were still there when it had arrived in Berlin?"
 CHANGED = "hello there. A train leaves Madrid with 45 cars and reaches Lisbon after 9 hours. How many of the 45 cars were still there when it had arrived in Lisbon? ok"
 
