@@ -23,8 +23,9 @@ from pyspark.sql import types as T
 
 from .common import map_rows
 
-#: Bounds on cached work; a full cache is emptied and fills again.
-MOST_STATES, MOST_PAIRS, MOST_WORDS = 250_000, 500_000, 1_000_000
+#: Bounds on cached work. Full caches of pairs and words become the old generation, from which what is
+#: asked for again moves back; a full table of states is emptied, but for the state at hand.
+MOST_STATES, MOST_PAIRS, MOST_WORDS = 200_000, 100_000, 120_000
 DECODE_STEP = 4096
 #: Texts of so many characters are split piece by piece.
 LONG = 1_000_000
@@ -51,8 +52,11 @@ class Transducer:
                     nodes += 1
                 at = to
             self.ends[at] = rank
+        if any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("a byte-level vocabulary needs every single byte as a token")
         self.inner = inner
         self.pairs: dict[int, bool] = {}
+        self.old_pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.forget()
 
@@ -94,9 +98,12 @@ class Transducer:
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= MOST_PAIRS:
-                self.pairs.clear()
-            a = self.tokens[left]
-            known = self.pairs[key] = self.merged(a + self.tokens[right], len(a)) is not None
+                self.pairs, self.old_pairs = {}, self.pairs
+            known = self.old_pairs.get(key)
+            if known is None:
+                a = self.tokens[left]
+                known = self.merged(a + self.tokens[right], len(a)) is not None
+            self.pairs[key] = known
         return known
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -135,14 +142,18 @@ class Transducer:
                 settled = settled[:n]
         n = len(settled)
         key = tuple([(left, node, pending[n:]) for left, node, pending in paths]) if n else tuple(paths)
-        number = self.numbers.get(key)
-        if number is None:
-            number = self.numbers[key] = len(self.sets)
+        number = self.number(key)
+        self.moves[state][byte] = number, settled
+        return number, settled
+
+    def number(self, key: tuple[Path, ...]) -> int:
+        known = self.numbers.get(key)
+        if known is None:
+            known = self.numbers[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
             self.last.append(key[-1][2])
-        self.moves[state][byte] = number, settled
-        return number, settled
+        return known
 
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of one pretoken. A piece that is a token itself is that token."""
@@ -150,12 +161,16 @@ class Transducer:
         if token is not None and not self.reachable(token):
             return [token]
         out: list[int] = []
-        if len(self.sets) >= MOST_STATES:
-            self.forget()
         state, moves = 0, self.moves
         for byte in piece:
             move = moves[state].get(byte)
-            state, settled = move if move is not None else self.step(state, byte)
+            if move is None:
+                if len(self.sets) >= MOST_STATES:
+                    here = self.sets[state]
+                    self.forget()
+                    state, moves = self.number(here), self.moves
+                move = self.step(state, byte)
+            state, settled = move
             if settled:
                 out += settled
         out += self.last[state]
@@ -209,13 +224,16 @@ class Words(dict):
     """Ids of pretokens as bytes; a missing one is encoded on demand."""
 
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word.encode("utf-8", "replace"))
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.old.get(word)
+        if packed is None:
+            ids = self.encode(word.encode("utf-8", "replace"))
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 64:
             if len(self) >= MOST_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = packed
         return packed
@@ -285,7 +303,8 @@ def decode_column(df: DataFrame, path: str, pattern: str, ids: str = "token_ids"
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``df`` with n_tokens, ids_sha256, decoded_sha256 and exact (the decoded text is the text).
 
-    Null texts count as empty: no ids, digests of nothing. Every row is kept, repeated ones too.
+    Null texts count as empty: no ids, digests of nothing. Every row is kept, repeated ones too,
+    and every column but those of these names, which are replaced.
     """
 
     def one(c: Codec, value: str | None):

@@ -19,10 +19,12 @@ SLICE_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset, one of our own (tests)."""
+    """The folder named by spark.checkpoint.dir; where that is unset, one of our own, in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors see")
     if not getattr(shared_dir, "own", None):
         own = tempfile.mkdtemp(prefix="tallyweave-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -61,7 +63,10 @@ def drop_stored(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of finished queries: its cleaner follows garbage collection."""
+    """Lets Spark delete shuffle files of finished queries early: its cleaner follows garbage collection.
+
+    Only disk space depends on it, and only until the next collection.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -22,6 +22,8 @@ SIZES, BITS = (1, 2, 3), 15
 #: The bound on the sample that fits the regression: rows a language, in expectation.
 SAMPLE = 1000
 UNKNOWN = "und"
+#: More distinct labels than this are no languages.
+MOST_LANGUAGES = 1000
 
 
 @dataclass(frozen=True)
@@ -71,19 +73,26 @@ def _frequencies(rows: DataFrame, text: str):
 
 
 def train(rows: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, ftrl: Ftrl = Ftrl(alpha=0.5, l1=0.002, l2=0.0005, epochs=4)) -> Model | None:
-    """A model from the labelled rows; None if there are none with a letter in their text."""
+    """A model from the labelled rows; None if there are none with a letter in their text.
+
+    All rows count towards document frequencies; of rows that repeat an id and label the regression
+    sees one. More than MOST_LANGUAGES distinct labels are an error.
+    """
     import numpy as np
 
     known = rows.where(F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if not sizes:
         return None
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = tuple(sorted(sizes))
     df, n = _frequencies(known, "text")
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample / sizes[k]))])
     unit = F.shiftrightunsigned(F.xxhash64("id", F.lit("sample")), 11).cast("double") / float(2**53)
-    chosen = known.where(unit < share[F.col("lang")]).select("id", "lang", "text")
+    # one text an id and language, so that many rows of one id stay out of the sample
+    chosen = known.where(unit < share[F.col("lang")]).groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     blank = Model(languages, idf, None, 1.0)
 
     def vectors():
@@ -114,7 +123,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     """``docs`` with lang_pred and score, the calibrated probability.
 
     Texts that are null or have no letter, and all texts if there is no model, get ``und`` and 0.
-    Ties go to the first language in alphabetical order. All rows and columns are kept.
+    Ties go to the first language in alphabetical order. All rows and other columns are kept; columns
+    named lang_pred or score are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

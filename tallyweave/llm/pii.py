@@ -484,7 +484,8 @@ def joined(spans: list[Span]) -> str:
 
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with counts of the base kinds, base_sha256, spans and n_added; every row is kept.
+    """``docs`` with counts of the base kinds, base_sha256, spans and n_added; every row is kept,
+    and every column but those of these names, which are replaced.
 
     Null texts count as empty. Offsets are code points, ends exclusive; spans are in the order of
     KINDS, then of starts. Base spans of different kinds may overlap; added ones overlap nothing.

@@ -6,6 +6,7 @@ fitted (FTRL, elastic net) on a bounded sample of labelled rows. Scores are prob
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,14 +33,16 @@ class Model:
     weights: object  # float64 by feature: ratio times weight
     intercept: float
 
+    @functools.cached_property
+    def telling(self):
+        return self.weights != 0
+
     def score(self, text: str | None) -> float:
         import math
 
         import numpy as np
 
-        telling, seen = self.weights != 0, []
-        for part in hashed_grams(text or "", SIZES, BITS):
-            seen.append(np.unique(part[telling[part]]))
+        seen = [np.unique(part[self.telling[part]]) for part in hashed_grams(text or "", SIZES, BITS)]
         total = self.intercept + float(self.weights[np.unique(np.concatenate(seen))].sum() if seen else 0.0)
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, total))))
 
@@ -78,8 +81,9 @@ def _ratios(rows: DataFrame):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, ftrl: Ftrl = Ftrl(alpha=0.5, l1=2.0, l2=0.01, epochs=8)) -> Model:
     """A model from the rows of ``docs`` whose id ``labels`` marks 0 or 1.
 
-    Null ids and labels do not count; an id with several labels is toxic if any is 1. With rows of
-    one label only, or none, every score is the smoothed share of label 1.
+    Null ids and labels do not count; an id with several labels is toxic if any is 1. Rows that repeat
+    an id all count towards the ratios; the classifier sees one of them. With rows of one label only,
+    or none, every score is the smoothed share of label 1.
     """
     import math
 
@@ -94,7 +98,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         return Model(np.zeros(1 << BITS), math.log((n[1] + 1) / (n[0] + 1)))
     telling = np.abs(ratios) >= LEAST_RATIO
     # the sample's ids: at most ``sample``, so the broadcast is bounded
-    chosen = texts.select("id").join(F.broadcast(marks) if small else marks, "id").orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(sample).select("id").distinct()
+    ids = texts.select("id").join(F.broadcast(marks) if small else marks, "id").select("id").distinct()
+    chosen = ids.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(sample)
+    # one text an id, so that many rows of one id stay out of the sample
+    fitted = rows.join(F.broadcast(chosen), "id", "left_semi").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def features():
         def work(values):
@@ -103,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
         return work
 
-    table = map_rows(rows.join(F.broadcast(chosen), "id", "left_semi"), ["text"], [T.StructField("at", T.ArrayType(T.IntegerType()))], features).select("id", "label", "at").toArrow()
+    table = map_rows(fitted, ["text"], [T.StructField("at", T.ArrayType(T.IntegerType()))], features).select("id", "label", "at").toArrow()
     order = sorted(range(table.num_rows), key=lambda i: (_mix(table["id"][i].as_py()), i))
     data = [(at, ratios[at]) for at in (np.asarray(table["at"][i].values, dtype=np.int64) for i in order)]
     w = ftrl.fit(data, [table["label"][i].as_py() for i in order], 2, 1 << BITS)
@@ -120,7 +127,8 @@ def _mix(value) -> int:
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score and predicted (1 if the score is ``threshold`` or more).
 
-    Null texts score as empty ones. All rows and columns are kept.
+    Null texts score as empty ones. All rows and other columns are kept; columns named score or
+    predicted are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -339,6 +339,121 @@ def test_toxicity_without_two_labels(spark):
     assert toxicity.clean(df.limit(0), none).count() == 0
 
 
+def plain_buckets(text, sizes, bits):
+    t, out = f" {(text or '').lower()} ", []
+    for n in sizes:
+        for k in range(len(t) - n + 1):
+            h = n
+            for ch in t[k : k + n]:
+                h = (h ^ ord(ch)) * 0x9E3779B97F4A7C15 % 2**64
+                h ^= h >> 32
+            out.append(h >> (64 - bits))
+    return out
+
+
+class PlainFtrl:
+    """FTRL-proximal by dictionaries, a feature and class at a time."""
+
+    def __init__(self, alpha, l1, l2, classes):
+        self.alpha, self.l1, self.l2, self.classes, self.z, self.n = alpha, l1, l2, classes, defaultdict(float), defaultdict(float)
+
+    def weight(self, f, k):
+        l1, l2 = (0.0, 0.0) if f == "bias" else (self.l1, self.l2)
+        z = self.z[f, k]
+        return 0.0 if abs(z) <= l1 else (math.copysign(l1, z) - z) / ((1.0 + math.sqrt(self.n[f, k])) / self.alpha + l2)
+
+    def scores(self, row):
+        return [sum(x * self.weight(f, k) for f, x in row.items()) for k in range(self.classes)]
+
+    def learn(self, row, label):
+        w = {(f, k): self.weight(f, k) for f in row for k in range(self.classes)}
+        s = [sum(x * w[f, k] for f, x in row.items()) for k in range(self.classes)]
+        e = [math.exp(x - max(s)) for x in s]
+        for f, x in row.items():
+            for k in range(self.classes):
+                g = x * (e[k] / sum(e) - (k == label))
+                n = self.n[f, k]
+                self.z[f, k] += g - (math.sqrt(n + g * g) - math.sqrt(n)) / self.alpha * w[f, k]
+                self.n[f, k] = n + g * g
+
+
+def in_order(rows):
+    return sorted(rows, key=lambda r: zlib.crc32(f"order/{r[0]}".encode()))
+
+
+def test_language_equals_a_plain_version(spark):
+    rows = spoken(90, 21)
+    df = spark.createDataFrame([*rows, (5, rows[5][1], rows[5][2]), (300, "1 2", "en"), (301, "la", None)], "doc_id long, text string, lang string")
+    m = language.train(df)
+    bags = {i: Counter(plain_buckets(t, language.SIZES, language.BITS)) for i, t, _ in rows}
+    df_counts = Counter(f for i, b in bags.items() for f in b for _ in range(2 if i == 5 else 1))
+    idf = lambda f: math.log(92 / (1 + df_counts[f])) + 1
+
+    def vector(bag):
+        x = {f: (1 + math.log(c)) * idf(f) for f, c in bag.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        return {**{f: v / norm for f, v in x.items()}, "bias": 1.0}
+
+    langs = sorted(SPOKEN)
+    data = [(vector(bags[i]), langs.index(lang)) for i, _, lang in in_order(rows)]
+    cut = len(data) - len(data) // 5
+    plain = PlainFtrl(0.5, 0.002, 0.0005, 3)
+    for _ in range(4):
+        for x, y in data[:cut]:
+            plain.learn(x, y)
+    for i in range(0, 90, 9):
+        assert [abs(a - b) < 2e-4 for a, b in zip(m.scores(rows[i][1]), plain.scores(vector(bags[i])), strict=True)] == [True] * 3
+    zeros = sum(abs(m.weights[f, k]) < 1e-12 for f in df_counts for k in range(3))
+    assert zeros == sum(plain.weight(f, k) == 0 for f in df_counts for k in range(3)) > 0
+
+    def loss(t):
+        out = 0.0
+        for x, y in data[cut:]:
+            s = [v / t for v in plain.scores(x)]
+            out -= math.log(math.exp(s[y] - max(s)) / sum(math.exp(v - max(s)) for v in s) + 1e-12)
+        return out
+
+    assert loss(m.temperature) <= min(loss(math.exp(k / 20)) for k in range(-60, 61)) + 1e-4
+
+
+def test_language_ties_repeats_and_long_texts(spark):
+    import numpy as np
+
+    flat = language.Model(("de", "en"), np.ones(1 << language.BITS, np.float32), np.zeros(((1 << language.BITS) + 1, 2), np.float32), 1.0)
+    df = spark.createDataFrame([(1, "a b", "z"), (1, "a b", "z"), (2, "the of and " * 200_000, "z")], "doc_id long, text string, lang_pred string")
+    got = language.predict(df, flat).collect()
+    assert [(r.lang_pred, r.score) for r in got] == [("de", 0.5)] * 3
+    hot = spark.createDataFrame([(7, "the of and", "en")] * 500 + [(i, t, lang) for i, t, lang in spoken(60, 3)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language.identify(hot, F.lit(False)).where("doc_id = 7").collect()} == {"en"}
+    with pytest.raises(ValueError):
+        language.train(spark.range(1500).selectExpr("id AS doc_id", "'word' AS text", "cast(id AS string) AS lang"))
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    r = random.Random(31)
+    calm = SPOKEN["en"].split()
+    rows = [(i, " ".join(r.choice(calm) for _ in range(r.randint(5, 20))) + (" you nitwit" if i % 4 == 0 else "")) for i in range(80)]
+    df = spark.createDataFrame(rows + [rows[8], (500, None), (501, "x" * 600_000 + " nitwit")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    m = toxicity.train(df, labels)
+    bags = {i: set(plain_buckets(t, toxicity.SIZES, toxicity.BITS)) for i, t in rows}
+    seen, n = [Counter(), Counter()], [0, 0]
+    for i in [*bags, 8]:
+        seen[i % 4 == 0].update(bags[i])
+        n[i % 4 == 0] += 1
+    ratio = {f: math.log((seen[1][f] + 1) / (n[1] + 2)) - math.log((seen[0][f] + 1) / (n[0] + 2)) for f in seen[0] | seen[1]}
+    vector = lambda bag: {**{f: ratio[f] for f in bag if abs(ratio.get(f, 0)) >= toxicity.LEAST_RATIO}, "bias": 1.0}
+    plain = PlainFtrl(0.5, 2.0, 0.01, 2)
+    for _ in range(8):
+        for i, _ in in_order(rows):
+            plain.learn(vector(bags[i]), int(i % 4 == 0))
+    got = {x.doc_id: x.score for x in toxicity.score(df, m).collect()}
+    for i, t in [*rows, (500, None), (501, "x" * 20 + " nitwit")]:
+        a, b = plain.scores(vector(set(plain_buckets(t, toxicity.SIZES, toxicity.BITS))))
+        assert abs(got[i] - 1 / (1 + math.exp(a - b))) < 1e-9, i
+    assert min(got[i] for i in range(0, 80, 4)) > max(got[i] for i in range(80) if i % 4)
+
+
 def test_chunks_hold_each_gram_once(monkeypatch):
     from tallyweave.llm import linear
 

@@ -59,6 +59,15 @@ def test_full_caches_do_not_change_ids(tiktoken_ids, monkeypatch):
     c = bpe.Codec(p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
     t = "The transducer forgets, and learns again; forgetting is harmless. " * 5
     assert list(bpe.unpack(c.encode(t))) == tiktoken_ids(t)
+    # the bound on states holds inside a pretoken, too
+    long = "".join(random.Random(3).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000))
+    assert list(bpe.unpack(c.encode(long))) == tiktoken_ids(long) and len(c.transducer.sets) <= 31
+    assert max(len(c.words), len(c.words.old), len(c.transducer.pairs) // 2) <= 10
+
+
+def test_vocabularies_without_all_bytes_are_refused():
+    with pytest.raises(ValueError):
+        bpe.Transducer({b"a": 0, b"ab": 1})
 
 
 def test_utf8_machine_equals_a_whole_decode():
