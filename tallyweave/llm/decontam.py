@@ -52,9 +52,8 @@ def _canonical(rows: DataFrame, text: str) -> DataFrame:
     """Adds h, slots and words of the words in ``text``.
 
     h has a hash for each token, for slots the code of their type's letter (n number, u unit, m
-    name) instead; slots has at, kind and value of each slot; words has a hash for each token, slots
-    too, where there are slots. Line ends count as sentence ends. A
-    word of punctuation alone is no token.
+    name) instead; slots has at, kind and value of each slot; words has the tokens as they are, in
+    texts with slots. Line ends count as sentence ends. A word of punctuation alone is no token.
     """
     units = ", ".join(f"'{u}'" for u in UNITS)
     clean = f"lower(translate(x, '{_PUNCTUATION}', ''))"
@@ -68,15 +67,15 @@ def _canonical(rows: DataFrame, text: str) -> DataFrame:
       ELSE xxhash64(c) END"""
     whole = f"CASE WHEN rlike({text}, r'{_UNSPACED}') THEN regexp_replace({text}, r'({_UNSPACED})', ' $1 ') ELSE coalesce({text}, '') END"
     words = rf"split(btrim(replace({whole}, '\n', '. '), ' \t\u000B\u000C\r'), r'[\x20\x09-\x0D]+')"
-    places = "filter(transform(g, (x, i) -> struct(x AS h, cores[i] AS value)), s -> s.h IS NOT NULL)"
-    slots = f"filter(transform({places}, (s, i) -> struct(i AS at, CASE WHEN s.h BETWEEN 0 AND 127 THEN char(s.h) END AS kind, s.value AS value)), s -> s.kind IS NOT NULL)"
+    is_slot = "x BETWEEN 0 AND 127"
+    slots = f"filter(transform(q.h, (x, i) -> CASE WHEN {is_slot} THEN struct(i AS at, char(x) AS kind, q.c[i] AS value) END), x -> x IS NOT NULL)"
     bound = f"""
       inline(transform(array({words}), w ->
         get(transform(array(transform(w, x -> {clean})), cores ->
           get(transform(array(transform(cores, (c, i) -> {code})), g ->
-            struct(filter(g, x -> x IS NOT NULL) AS h, CASE WHEN exists(g, x -> x BETWEEN 0 AND 127) THEN {slots} ELSE array() END AS slots,
-              CASE WHEN exists(g, x -> x BETWEEN 0 AND 127) THEN transform({places}, s -> xxhash64(s.value)) ELSE array() END AS words)
-          ), 0)), 0)))"""
+            get(transform(array(struct(filter(g, x -> x IS NOT NULL) AS h, filter(cores, c -> c <> '') AS c)), q ->
+              CASE WHEN exists(q.h, x -> {is_slot}) THEN struct(q.h AS h, {slots} AS slots, q.c AS words) ELSE struct(q.h AS h, array() AS slots, array() AS words) END
+          ), 0)), 0)), 0)))"""
     return rows.select(*[c for c in rows.columns if c != text], F.expr(bound))
 
 
@@ -87,19 +86,20 @@ def _windows(rows: DataFrame, sizes: list[int], whole: bool = False) -> DataFram
     below SHORTEST tokens are whole texts, by their words.
     """
 
-    def keys(width: int) -> str:
-        one = ", ".join(f"h[i + {j}]" for j in range(width))
-        words = f"xxhash64('words', {', '.join(f'words[i + {j}]' for j in range(width))})"
-        literal = " + ".join(f"int(h[i + {j}] NOT BETWEEN 0 AND 127)" for j in range(width))
-        fits = f"size(h) >= {width}" if width >= SHORTEST else f"size(h) = {width}"
-        mixed = f"CASE WHEN 2 * ({literal}) >= {width} THEN xxhash64({one}) ELSE {words} END" if width >= SHORTEST else words
-        return f"CASE WHEN NOT ({fits}) THEN array() WHEN size(slots) = 0 THEN transform(sequence(0, size(h) - {width}), i -> xxhash64({one})) ELSE transform(sequence(0, size(h) - {width}), i -> {mixed}) END"
+    def key(width: int) -> str:
+        one = f"xxhash64({', '.join(f'h[at + {j}]' for j in range(width))})"
+        words = f"xxhash64('words', {', '.join(f'words[at + {j}]' for j in range(width))})"
+        literal = " + ".join(f"int(h[at + {j}] NOT BETWEEN 0 AND 127)" for j in range(width))
+        by_words = f"2 * ({literal}) < {width}" if width >= SHORTEST else "true"
+        return f"CASE WHEN size(slots) > 0 AND {by_words} THEN {words} ELSE {one} END"
 
     kept = [c for c in rows.columns if c not in ("h", "words", "slots")]
-    made = ", ".join(f"struct({n} AS size, {keys(n)} AS keys)" for n in sizes)
-    own = f"filter(array({made}), x -> x.size = least(size(h), {max(sizes)}))" if whole else f"array({made})"
-    bound = rows.select(*kept, "slots", F.expr(f"inline(flatten(transform(array(h), h -> {own})))")).where("size(keys) > 0")
-    return bound.select(*kept, "slots", "size", F.posexplode("keys").alias("at", "key"))
+    # the arrays are made before the windows are; keys of windows are then compiled code over them
+    sized = rows.select("*", F.explode(F.array(*map(F.lit, sizes))).alias("size"))
+    sized = sized.where(F.col("size") == F.least(F.size("h"), F.lit(max(sizes)))) if whole else sized
+    starts = F.expr(f"CASE WHEN size(h) >= size AND (size >= {SHORTEST} OR size(h) = size) THEN sequence(0, size(h) - size) ELSE array() END")
+    placed = sized.select("*", F.explode(starts).alias("at"))
+    return placed.select(*kept, "slots", "size", "at", F.expr(f"CASE {' '.join(f'WHEN size = {n} THEN {key(n)}' for n in sizes)} END").alias("key"))
 
 
 # Whether a window at ``at`` is matched by its words: it has more slots than literal tokens, or is short.
