@@ -13,6 +13,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from tallyweave.operators import metrics, report
+from tallyweave.plans.cut import cut
 from tallyweave.sources import datagen, records, sinks
 
 
@@ -44,7 +45,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "compare":
         return compare(spark, args.new, args.baseline, args.tolerance)
     if args.command == "eval":
-        per_set = datagen.evaluate(spark, args.seeds, args.n_entries).cache()
+        per_set = cut(datagen.evaluate(spark, args.seeds, args.n_entries))
         means = metrics.macro_mean(per_set)
         sinks.write_results(per_set, means, args.out)
         print(sinks.markdown_table(means))

@@ -139,6 +139,11 @@ def evidence(records: DataFrame, scored: DataFrame) -> DataFrame:
     )
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Cells or their evidence by date and amount, then by currency and account: the order of output."""
+    return rows.orderBy("value_date", "minor", "currency", "account")
+
+
 def exact_set_score(predicted: DataFrame, truths: DataFrame) -> DataFrame:
     """n, exact, emitted, emitted_exact for ALL and each size of the true set.
 

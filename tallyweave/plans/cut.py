@@ -6,16 +6,24 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see; in local mode, one of ours where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+    root = tempfile.mkdtemp(prefix="tallyweave-cut-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed below spark.checkpoint.dir; only where that is unset, below a folder of ours."""
+    """``df`` checkpointed below spark.checkpoint.dir; where that is unset, below a folder of ours in local mode."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="tallyweave-cut-")
-            atexit.register(shutil.rmtree, root, ignore_errors=True)
-        context.setCheckpointDir(root)
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()

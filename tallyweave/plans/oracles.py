@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tallyweave.config import DISPOSITION
+
 # The reconciliation problem made from orders and customer.
 _BASE = """
 base AS (
@@ -20,17 +22,17 @@ base AS (
   UNION ALL SELECT scope, 'X' || kk, d + CAST(k % 2 AS INTEGER), nm || ' invoice ' || (100 + (7 * k) % 900), x, NULL, k * 10 + 1 FROM mates
   UNION ALL SELECT scope, 'Y' || kk, d, nm || ' invoice ' || (100 + (11 * k) % 900), y, NULL, k * 10 + 2 FROM mates WHERE y IS NOT NULL
 ), texts AS (
-  SELECT *, CASE WHEN k % 7 = 0 THEN upper(substr('NEFT ' || nm, 1, 22)) WHEN k % 5 = 0 THEN nm ELSE 'POS ' || nm END AS txt FROM base
+  SELECT *, CASE WHEN k % 7 = 0 THEN upper(substr('WIRE ' || nm, 1, 22)) WHEN k % 5 = 0 THEN nm ELSE 'CARD ' || nm END AS txt FROM base
 ), statement AS (
   SELECT scope, 'S' || kk || 'a' AS line_id, d AS date, txt AS description, cents, CASE WHEN k % 20 = 0 THEN 'INV-' || k END AS reference, k * 10 AS ord FROM texts WHERE scenario = 'clean'
-  UNION ALL SELECT scope, 'S' || kk || 'a', d + CAST(k % 2 AS INTEGER), ['BULK PAYMENT', 'NEFT BATCH SETTLEMENT', 'SALARY BATCH'][CAST(k % 3 AS INTEGER) + 1], cents + x + coalesce(y, 0), NULL, k * 10 FROM mates
+  UNION ALL SELECT scope, 'S' || kk || 'a', d + CAST(k % 2 AS INTEGER), ['COMBINED TRANSFER', 'GROUPED SETTLEMENT RUN', 'PAYROLL FILE'][CAST(k % 3 AS INTEGER) + 1], cents + x + coalesce(y, 0), NULL, k * 10 FROM mates
   UNION ALL SELECT scope, 'S' || kk || 'a', d + CAST(1 + k % 3 AS INTEGER), txt, cents, NULL, k * 10 FROM texts WHERE scenario = 'lag'
   UNION ALL SELECT scope, 'S' || kk || 'a', d, txt, (CASE WHEN k % 5 = 0 THEN size // 5 ELSE 2 * size // 5 END) * sg, NULL, k * 10 FROM texts WHERE scenario = 'split'
   UNION ALL SELECT scope, 'S' || kk || 'b', d, txt, (CASE WHEN k % 5 = 0 THEN 2 * size // 5 ELSE size - 2 * size // 5 END) * sg, NULL, k * 10 + 1 FROM texts WHERE scenario = 'split'
   UNION ALL SELECT scope, 'S' || kk || 'c', d, txt, (size - size // 5 - 2 * size // 5) * sg, NULL, k * 10 + 2 FROM texts WHERE scenario = 'split' AND k % 5 = 0
   UNION ALL SELECT scope, 'S' || kk || 'a', d, txt, CASE WHEN (size // 10) % 10 = size % 10 THEN size + 100 ELSE (size // 100) * 100 + (size % 10) * 10 + (size // 10) % 10 END * sg, NULL, k * 10 FROM texts WHERE scenario = 'typo'
   UNION ALL SELECT scope, 'D' || kk, d, txt, cents, NULL, k * 10 + 3 FROM texts WHERE scenario = 'clean' AND k % 97 = 0
-  UNION ALL SELECT scope, 'F' || kk, d, 'BANK CHARGES GST', -(5000 + k % 45000), NULL, k * 10 + 4 FROM texts WHERE k % 50 = 1
+  UNION ALL SELECT scope, 'F' || kk, d, 'MONTHLY ACCOUNT FEE', -(5000 + k % 45000), NULL, k * 10 + 4 FROM texts WHERE k % 50 = 1
 ), pairs AS (
   SELECT k, scope, CASE WHEN scenario = 'batch' AND k % 5 = 0 THEN ['E' || kk, 'X' || kk, 'Y' || kk] WHEN scenario = 'batch' THEN ['E' || kk, 'X' || kk] ELSE ['E' || kk] END AS entry_ids,
     CASE WHEN scenario = 'split' AND k % 5 = 0 THEN ['S' || kk || 'a', 'S' || kk || 'b', 'S' || kk || 'c'] WHEN scenario = 'split' THEN ['S' || kk || 'a', 'S' || kk || 'b'] ELSE ['S' || kk || 'a'] END AS line_ids
@@ -121,7 +123,7 @@ twins AS (
   FROM (SELECT unnest(line_ids) AS line_id, {'e': entry_ids, 'p': generate_subscripts(line_ids, 1)} AS key FROM mxwon) JOIN st m USING (line_id)
   GROUP BY ALL
 ), restl AS (
-  SELECT o.*, t.twin FROM ol o LEFT JOIN (SELECT date, cents, description, max(twin) AS twin FROM twins GROUP BY ALL) t ON o.date = t.date AND o.cents = t.cents AND o.description = t.description
+  SELECT o.*, t.twin FROM ol o LEFT JOIN twins t ON o.scope = t.scope AND o.date = t.date AND o.cents = t.cents AND o.description = t.description
   WHERE o.line_id NOT IN (SELECT line_id FROM nxwon)
 ), brk AS (
   SELECT 'ledger' AS side, entry_id AS record_id, 'amount_mismatch_suspect' AS category, 'amounts disagree: ledger ' || et || ' vs statement ' || lt || ' — check for a keying error or an absorbed fee' AS suggestion, line_id AS related_id FROM nxwon
@@ -279,6 +281,56 @@ rk AS (SELECT row_number() OVER w AS n, sum(label) OVER (ORDER BY score DESC, b_
 fr AS (SELECT n, round(n::DOUBLE / (SELECT count(*) FROM rb), 9) AS coverage, CAST(exact AS BIGINT) AS exact, round({_wilson("exact", "n")}, 9) AS lb, threshold FROM rk)"""
 
 
+# Subset sums over whole windows, without the cut to twelve.
+_UNCAPPED = _TIERS.replace("QUALIFY row_number() OVER (PARTITION BY l.entry_id ORDER BY s.line_id) <= 12", "").replace("QUALIFY row_number() OVER (PARTITION BY s.line_id ORDER BY l.entry_id) <= 12", "")
+
+_REASON = """CASE WHEN bool_and(outcome = 'EXACT') THEN 'NONE_ALL_EXACT' ELSE coalesce(nullif(array_to_string(list_filter([CASE WHEN bool_or(outcome = 'STRICT_SUBSET') THEN 'FRAGMENTED_MULTI_AMOUNT_GROUP' END, CASE WHEN bool_or(outcome = 'STRICT_SUPERSET') THEN 'MERGED_FOREIGN_RECORDS' END, CASE WHEN bool_or(outcome = 'OVERLAP') THEN 'PARTIAL_CELL_COLLISION' END, CASE WHEN bool_or(outcome = 'DISJOINT') THEN 'WRONG_CELL' END], lambda x: x IS NOT NULL), '+'), ''), 'MIXED') END"""
+_EVIDENCE = f"""
+ids AS (
+  SELECT currency, account, value_date, minor, coalesce(string_agg(rec_id, ' ' ORDER BY rec_id) FILTER (side = 'A'), '') AS a_ids, coalesce(string_agg(rec_id, ' ' ORDER BY rec_id) FILTER (side = 'B'), '') AS b_ids FROM recs GROUP BY ALL
+), ev AS (
+  SELECT currency, account, value_date, minor, min(n_a) AS n_a, min(n_b) AS n_b, min(len(predicted)) AS n_predicted_allocations, array_to_string(list_sort(list(DISTINCT cardinality)), ' ') AS true_cardinalities,
+    array_to_string(list_sort(list(DISTINCT amount_class)), ' ') AS true_amount_classes, count(*) AS n_b_total, {_REASON} AS collision_reason, {", ".join(f"count(*) FILTER (outcome = '{x.upper()}') AS outcome_{x}" for x in _OUT)}
+  FROM oc WHERE len(predicted) > 0 GROUP BY currency, account, value_date, minor
+)"""
+_EVIDENCE_ROWS = f"""SELECT concat_ws('|', currency, account, value_date, minor) AS component_id, currency, account, value_date, minor, n_a, n_b, n_a || ':' || n_b AS shape, '{{' || minor || '}}x' || (n_a + n_b) AS amount_multiset, 1 AS distinct_amounts,
+  n_predicted_allocations, a_ids, b_ids, '{DISPOSITION}' AS disposition, true_cardinalities, true_amount_classes, collision_reason, outcome_exact AS n_b_exact, n_b_total, {", ".join(f"outcome_{x}" for x in _OUT)}
+  FROM ev JOIN ids USING (currency, account, value_date, minor)"""
+
+# The tiered matcher's allocations for each line, scored as exact sets.
+_TIERED = """
+guess AS (SELECT l AS b_id, list_sort(list(DISTINCT allocation)) AS predicted FROM (SELECT unnest(line_ids) AS l, entry_ids FROM mxwon) m, unnest(entry_ids) u(e) JOIN ra ON rec_id = e GROUP BY l),
+scored AS (SELECT CASE WHEN len(target) = 0 THEN 'true-unmatched' WHEN len(target) = 1 THEN 'single-A' ELSE 'multi-A' END AS st, coalesce(predicted, []) = target AS hit, len(coalesce(predicted, [])) > 0 AS o FROM tru LEFT JOIN guess USING (b_id))"""
+
+
+def _set_scores(source: str) -> str:
+    return f"SELECT stratum, n, exact, emitted, emitted_exact, round(exact::DOUBLE / n, 9) AS match_rate, round(CASE WHEN emitted > 0 THEN emitted_exact::DOUBLE / emitted ELSE 0 END, 9) AS precision, round({_wilson('emitted_exact', 'emitted')}, 9) AS wilson_lb FROM (SELECT CASE WHEN GROUPING(st) = 1 THEN 'ALL' ELSE st END AS stratum, count(*) AS n, count(*) FILTER (hit) AS exact, count(*) FILTER (o) AS emitted, count(*) FILTER (hit AND o) AS emitted_exact FROM {source} GROUP BY GROUPING SETS ((), (st)))"
+
+
+# The features, family by family, in the words of their definitions.
+_SAME = "x.currency = b.currency AND x.account = b.account AND x.value_date = b.value_date"
+_CELLMATE = _SAME + " AND x.minor = b.minor"
+_SIBLING = "(SELECT count(DISTINCT x.rec_id) FROM rt x WHERE " + _SAME + " AND x.side = '{s}' AND x.minor <> b.minor AND list_has_any(x.tk, (SELECT list_distinct(flatten(list(y.tk))) FROM rt y WHERE y.side = '{s}' AND y.currency = b.currency AND y.account = b.account AND y.value_date = b.value_date AND y.minor = b.minor)))"
+_FEATURE_SQL = {
+    "n_a": "b.n_a", "n_b": "b.n_b", "shape_balanced": "b.n_a = b.n_b", "pred_size": "len(b.predicted)",
+    "witness_count": f"(SELECT count(*) FROM ci x WHERE {_SAME} AND x.balanced AND x.minor <> b.minor)",
+    "witness_token_count": f"(SELECT count(*) FROM ci x WHERE {_SAME} AND x.balanced AND x.minor <> b.minor AND list_has_any(x.common, b.common))",
+    "date_cells": f"(SELECT count(*) FROM cels x WHERE {_SAME})", "date_balanced_cells": f"(SELECT count(*) FROM cels x WHERE {_SAME} AND x.balanced)", "date_records": f"(SELECT count(*) FROM recs x WHERE {_SAME})",
+    "amount_minor": "b.minor", "log_amount": "CASE WHEN b.minor > 0 THEN log10(b.minor) ELSE 0 END", "round_unit": "b.minor % 100 = 0", "round_ten": "b.minor % 1000 = 0", "round_hundred": "b.minor % 10000 = 0",
+    "amount_global_freq": "(SELECT count(*) FROM recs x WHERE x.minor = b.minor)", "amount_date_freq": f"(SELECT count(*) FROM recs x WHERE {_CELLMATE})", "amount_alone_on_date": f"(SELECT count(*) FROM recs x WHERE {_CELLMATE}) = b.n_a + b.n_b",
+    "amount_window_freq": "(SELECT count(*) FROM cels x WHERE x.minor = b.minor AND abs(date_diff('day', CAST(x.value_date AS DATE), CAST(b.value_date AS DATE))) <= 3)",
+    "ab_qgram3_max": f"(SELECT max({_jac('x.g3', 'b.g3')}) FROM fa x WHERE x.side = 'A' AND {_CELLMATE})", "ab_token_overlap": f"(SELECT max(len(list_intersect(x.tk, b.tk))) FROM fa x WHERE x.side = 'A' AND {_CELLMATE})",
+    "ab_shares_token": f"(SELECT max(len(list_intersect(x.tk, b.tk))) FROM fa x WHERE x.side = 'A' AND {_CELLMATE}) > 0",
+    "b_attr_len": "length(b.attributes)", "a_attr_len": f"(SELECT avg(length(x.attributes)) FROM ra x WHERE {_CELLMATE})", "b_attr_empty": "trim(b.attributes) = ''", "b_has_ref": "trim(b.reference) <> ''",
+    "a_has_ref": f"(SELECT avg(CASE WHEN trim(x.reference) <> '' THEN 1.0 ELSE 0.0 END) FROM ra x WHERE {_CELLMATE})",
+    "a_sib_token_diffamt": _SIBLING.format(s="A"), "a_sib_any_diffamt": f"(SELECT count(*) FROM recs x WHERE {_SAME} AND x.minor <> b.minor)", "b_sib_token_diffamt": _SIBLING.format(s="B"), "b_sib_any_diffamt": f"(SELECT count(*) FROM recs x WHERE {_SAME} AND x.minor <> b.minor)",
+    "b_dir_dr": "b.direction = 'DR'",
+}
+_FEATURES = f"""
+fa AS (SELECT *, lower(attributes) AS s, {_QGRAM.format(s="lower(attributes)", q=3)} AS g3 FROM rt),
+fb AS (SELECT o.b_id, o.outcome, o.predicted, o.n_a, o.n_b, ci.common, f.* FROM oc o JOIN fa f ON f.rec_id = o.b_id JOIN ci ON ci.currency = o.currency AND ci.account = o.account AND ci.value_date = o.value_date AND ci.minor = o.minor WHERE len(o.predicted) > 0)"""
+
+
 def oracle_sql() -> dict[str, str]:
     line = "SELECT scope, {i}, date, description, cents, reference FROM {t}"
     return {
@@ -288,6 +340,14 @@ def oracle_sql() -> dict[str, str]:
         "tier12_exact_and_lagged": _with(_TIERS, select=_candidates("t12")),
         "tier3_splits": _with(_TIERS, select=_candidates("t3")),
         "tier4_batches": _with(_TIERS, select=_candidates("t4")),
+        "tier34_uncapped": _with(_UNCAPPED, select=_candidates("(SELECT * FROM t3 UNION ALL SELECT * FROM t4)")),
+        "match_greedy_rounds": _with(*_MATCHES, select=_candidates("mxwon")),
+        "rendered_report": _with(*_MATCHES, select="SELECT array_to_string(entry_ids, ', ') AS ledger, array_to_string(line_ids, ', ') AS statement, CAST(tier AS INTEGER) AS tier, round(confidence, 3) AS confidence FROM mxwon"),
+        "tier_accuracy": _with(*_MATCHES, select="SELECT CAST(tier AS INTEGER) AS tier, count(*) AS predicted, count(g.k) AS correct, round(count(g.k)::DOUBLE / count(*), 9) AS precision FROM mxwon m LEFT JOIN pairs g ON list_sort(g.entry_ids) = m.entry_ids AND list_sort(g.line_ids) = m.line_ids GROUP BY tier"),
+        "cell_evidence": _with(_RECORDS, _EVIDENCE, select=_EVIDENCE_ROWS),
+        "tiered_set_score": _with(*_MATCHES, _RECORDS, _TIERED, select=_set_scores("scored")),
+        "frontier_features": _with(_RECORDS, _WITNESS, _FEATURES, select="SELECT b_id, CAST(outcome = 'EXACT' AS INTEGER) AS label, " + ", ".join(f"round(CAST({e} AS DOUBLE), 9) AS {n}" for n, e in _FEATURE_SQL.items()) + " FROM fb b"),
+        "frontier_at_coverage": _with(_RECORDS, _FRONT, select="SELECT * FROM fr WHERE coverage >= 0.5 ORDER BY n LIMIT 1"),
         "match_greedy": _with(*_MATCHES, select=_candidates("mxwon")),
         "breaks": _with(*_MATCHES, _BREAKS, select="SELECT * FROM brk"),
         "break_counts": _with(*_MATCHES, _BREAKS, select="SELECT category, side, count(*) AS n FROM brk GROUP BY ALL"),
@@ -324,5 +384,9 @@ def oracle_sql() -> dict[str, str]:
         "adapter_signed_amount": "SELECT event_id, CASE WHEN event_type IN ('purchase', 'view') THEN 1 ELSE -1 END * CAST(round(value * 100) AS BIGINT) AS cents, 'T' || lpad(CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR), 4, '0') AS line_id FROM events",
         "transpositions": f"SELECT o_orderkey, len(list_filter(range(1, len(da) + 1), lambda i: da[i] <> db[i])) <= 2 AND list_sort(da) = list_sort(db) AS swapped FROM (SELECT o_orderkey, {_DIGITS.format(t='a')} AS da, {_DIGITS.format(t='b')} AS db FROM (SELECT o_orderkey, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) AS a, substr(CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR), 2, 1) || substr(CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR), 1, 1) || substr(CAST(CAST(round(o_totalprice * 100) AS BIGINT) + o_orderkey % 2 AS VARCHAR), 3) AS b FROM orders))",
         "target_lists": "SELECT k, array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(trim(raw), '^\\[(.*)\\]$', '\\1'), ','), lambda x: x <> ''))), '|') AS target FROM (SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' || c_name || ' ' ELSE '[' || c_name || ',' || c_mktsegment || ',,' || c_name || ']' END AS raw FROM customer)",
-        "regression_gate": _with(*_MATCHES, select="SELECT 'auto_match_rate' AS metric, rate AS value, 1.0 AS baseline FROM (" + _AMR + ") WHERE rate < 1.0 - 0.01 UNION ALL SELECT 'pair_f1', f1, 1.0 FROM (" + _PRF.format(by="", inner=_PAIR_COUNTS) + ") WHERE f1 < 1.0 - 0.01"),
+        "regression_gate": _with(
+            *_MATCHES, _BREAKS,
+            select="SELECT metric, value, baseline FROM (SELECT 'auto_match_rate' AS metric, rate AS value, 0.958734772::DOUBLE AS baseline FROM (" + _AMR + ") UNION ALL SELECT 'pair_f1', f1, 0.978635262 FROM ("
+            + _PRF.format(by="", inner=_PAIR_COUNTS) + ") UNION ALL SELECT 'break_f1', f1, 0.833677491 FROM (" + _PRF.format(by="category,", inner=_BREAK_COUNTS) + ") WHERE category = 'ALL') WHERE value < baseline - 0.01",
+        ),
     }

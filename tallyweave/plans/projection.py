@@ -62,13 +62,13 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_text() -> str:
-    return "CASE WHEN k % 7 = 0 THEN upper(substring(concat('NEFT ', name), 1, 22)) WHEN k % 5 = 0 THEN name ELSE concat('POS ', name) END"
+    return "CASE WHEN k % 7 = 0 THEN upper(substring(concat('WIRE ', name), 1, 22)) WHEN k % 5 = 0 THEN name ELSE concat('CARD ', name) END"
 
 
 def statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """line_id, date, description, amount, reference, amount_text, ord, scope, cents."""
     none, text = "cast(null as string)", _line_text()
-    batch = "element_at(array('BULK PAYMENT', 'NEFT BATCH SETTLEMENT', 'SALARY BATCH'), cast(k % 3 as int) + 1)"
+    batch = "element_at(array('COMBINED TRANSFER', 'GROUPED SETTLEMENT RUN', 'PAYROLL FILE'), cast(k % 3 as int) + 1)"
     swapped = "CASE WHEN (size div 10) % 10 = size % 10 THEN size + 100 ELSE (size div 100) * 100 + (size % 10) * 10 + (size div 10) % 10 END * sign"
     cases = [
         ("scenario = 'clean'", _id("S", "a"), "date", text, "CASE WHEN k % 20 = 0 THEN concat('INV-', k) END", "k * 10", "cents"),
@@ -81,7 +81,7 @@ def statement(spark: SparkSession, sf_dir: str) -> DataFrame:
         (_THREE, _id("S", "c"), "date", text, none, "k * 10 + 2", "(size - size div 5 - 2 * size div 5) * sign"),
         ("scenario = 'typo'", _id("S", "a"), "date", text, none, "k * 10", swapped),
         ("scenario = 'clean' AND k % 97 = 0", _id("D"), "date", text, none, "k * 10 + 3", "cents"),
-        ("k % 50 = 1", _id("F"), "date", "'BANK CHARGES GST'", none, "k * 10 + 4", "-(5000 + k % 45000)"),
+        ("k % 50 = 1", _id("F"), "date", "'MONTHLY ACCOUNT FEE'", none, "k * 10 + 4", "-(5000 + k % 45000)"),
     ]
     return _amounts(_exploded(_signed(spark, sf_dir), cases, ("line_id", "date", "description", "reference", "ord", "cents")))
 

@@ -17,7 +17,7 @@ def test_char_ratio_is_not_symmetric(spark, a, b, ratio):
 
 
 def test_desc_sim(spark):
-    rows = [("Acme Ltd invoice 44", "POS ACME LTD", 2 / 3), ("a b", "b a", 1.0), ("", "x", 0.0), ("STRASSE", "straße", 1.0), (None, "x", None)]
+    rows = [("Ovi Tea delivery 81", "CARD OVI TEA", 2 / 3), ("a b", "b a", 1.0), ("", "x", 0.0), ("STRASSE", "straße", 1.0), (None, "x", None)]
     df = spark.createDataFrame(rows, "a string, b string, want double").withColumn("got", text.desc_sim(F.col("a"), F.col("b")))
     for r in df.collect():
         assert r.got == (None if r.want is None else pytest.approx(r.want))
@@ -31,7 +31,7 @@ def test_qgrams_and_jaccard(spark):
 
 def test_transposition(spark):
     t = lambda a, b: value(spark, text.is_transposition(F.lit(a), F.lit(b)))
-    assert t("1250.50", "1250.05") and t("1.50", "15.0") and not t("123", "231") and not t("12", "123")
+    assert t("734.20", "374.20") and t("1.50", "15.0") and not t("123", "231") and not t("12", "123")
 
 
 def test_splits_equal_hashlib(spark):

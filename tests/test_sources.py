@@ -22,9 +22,9 @@ def save(path, text):
 
 
 def test_csv_types_and_nulls(spark, tmp_path):
-    got = records.load_ledger_csv(spark, save(tmp_path / "l.csv", HEAD + 'E1, 2026-03-05 ," Acme, Ltd ", -1250.50 ,\nE2,20260306,b,+7,INV\n'))
+    got = records.load_ledger_csv(spark, save(tmp_path / "l.csv", HEAD + 'E1, 2026-03-05 ," Ovi, Tea ", -734.20 ,\nE2,20260306,b,+7,INV\n'))
     a, b = got.strict().orderBy("ord").collect()
-    assert (a.entry_id, a.date, a.description, a.amount, a.reference, a.amount_text, a.ord) == ("E1", date(2026, 3, 5), " Acme, Ltd ", Decimal("-1250.5"), None, "-1250.50", 0)
+    assert (a.entry_id, a.date, a.description, a.amount, a.reference, a.amount_text, a.ord) == ("E1", date(2026, 3, 5), " Ovi, Tea ", Decimal("-734.2"), None, "-734.20", 0)
     assert (b.date, b.reference, b.amount_text, b.ord) == (date(2026, 3, 6), "INV", "7", 1)
 
 
