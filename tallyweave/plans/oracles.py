@@ -307,6 +307,25 @@ def _set_scores(source: str) -> str:
     return f"SELECT stratum, n, exact, emitted, emitted_exact, round(exact::DOUBLE / n, 9) AS match_rate, round(CASE WHEN emitted > 0 THEN emitted_exact::DOUBLE / emitted ELSE 0 END, 9) AS precision, round({_wilson('emitted_exact', 'emitted')}, 9) AS wilson_lb FROM (SELECT CASE WHEN GROUPING(st) = 1 THEN 'ALL' ELSE st END AS stratum, count(*) AS n, count(*) FILTER (hit) AS exact, count(*) FILTER (o) AS emitted, count(*) FILTER (hit AND o) AS emitted_exact FROM {source} GROUP BY GROUPING SETS ((), (st)))"
 
 
+def _longest(x: str, y: str) -> str:
+    """The longest common run of two texts: its length, and its first place in x, then in y, as negatives."""
+    return f"list_max(flatten(list_transform(range(1, length({x}) + 1), lambda i: list_transform(range(1, length({x}) - i + 2), lambda n: {{'k': CASE WHEN contains({y}, substr({x}, i, n)) THEN n ELSE 0 END, 'i': -i, 'j': -strpos({y}, substr({x}, i, n))}}))))"
+
+
+# The character ratio by its definition: the longest common run, then the same left and right of it.
+_RATIOS = f"""
+nm AS (SELECT a.c_custkey, a.c_mktsegment || ' ' || a.c_name AS own, b.c_mktsegment || ' ' || b.c_name AS other FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1),
+pr AS (SELECT c_custkey AS id, 'ratio' AS kind, own AS x, other AS y FROM nm UNION ALL SELECT c_custkey, 'reverse', other, own FROM nm UNION ALL SELECT c_custkey, 'low', lower(own), lower(other) FROM nm),
+seg AS (
+  SELECT id, kind, x, y, {_longest("x", "y")} AS m FROM pr
+  UNION ALL
+  SELECT id, kind, c.x, c.y, {_longest("c.x", "c.y")} FROM (
+    SELECT id, kind, unnest([{{'x': substr(x, 1, -m.i - 1), 'y': substr(y, 1, -m.j - 1)}}, {{'x': substr(x, m.k - m.i), 'y': substr(y, m.k - m.j)}}]) AS c FROM seg WHERE m.k > 0)
+), rat AS (SELECT p.id, p.kind, 2.0::DOUBLE * sum(coalesce(m.k, 0)) / min(length(p.x) + length(p.y)) AS r FROM pr p JOIN seg s ON s.id = p.id AND s.kind = p.kind GROUP BY ALL),
+tok AS (SELECT c_custkey, {_tokens("own")} AS a, {_tokens("other")} AS b FROM nm)"""
+_RATIO_ROWS = """SELECT c_custkey, round(max(r) FILTER (kind = 'ratio'), 9) AS ratio, round(max(r) FILTER (kind = 'reverse'), 9) AS reverse,
+  round(greatest(max(r) FILTER (kind = 'low'), max(len(list_intersect(a, b))::DOUBLE / least(len(a), len(b)))), 9) AS sim FROM tok JOIN rat ON id = c_custkey GROUP BY c_custkey"""
+
 # The features, family by family, in the words of their definitions.
 _SAME = "x.currency = b.currency AND x.account = b.account AND x.value_date = b.value_date"
 _CELLMATE = _SAME + " AND x.minor = b.minor"
@@ -361,6 +380,7 @@ def oracle_sql() -> dict[str, str]:
         "token_containment": f"SELECT a.p_partkey AS a_key, b.p_partkey AS b_key, round(CAST(len(list_intersect(a.tk, b.tk)) AS DOUBLE) / least(len(a.tk), len(b.tk)), 9) AS sim FROM (SELECT p_partkey, p_brand, {_tokens('p_name')} AS tk FROM part) a JOIN (SELECT p_partkey, p_brand, {_tokens('p_name')} AS tk FROM part) b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND b.p_partkey - a.p_partkey <= 50",
         "qgram_jaccard": "WITH " + _NAMES + " SELECT * FROM cp WHERE a_key < b_key",
         "argmax_by_text": "WITH " + _NAMES + " SELECT b_key, min_by(a_key, (-qgram3, a_key)) AS a_key FROM cp GROUP BY b_key",
+        "char_ratio_names": "WITH RECURSIVE " + _RATIOS + _RATIO_ROWS,
         "scope_candidates": _with(_RECORDS, _SCOPE, select="SELECT b_id, n, removed, CASE WHEN n = 1 THEN 'unique' WHEN n > 1 THEN 'ambiguous' ELSE 'impossible' END AS class, CASE WHEN n = 1 THEN a1 END AS sole_a, mutual FROM candm"),
         "scope_rules": _with(_RECORDS, _SCOPE, select=_RULES),
         "cells": _with(_RECORDS, select="SELECT currency, account, value_date, minor, n_a, n_b, imbalance, balanced, array_to_string(predicted, ',') AS predicted FROM cels"),
