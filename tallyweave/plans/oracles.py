@@ -326,6 +326,37 @@ tok AS (SELECT c_custkey, {_tokens("own")} AS a, {_tokens("other")} AS b FROM nm
 _RATIO_ROWS = """SELECT c_custkey, round(max(r) FILTER (kind = 'ratio'), 9) AS ratio, round(max(r) FILTER (kind = 'reverse'), 9) AS reverse,
   round(greatest(max(r) FILTER (kind = 'low'), max(len(list_intersect(a, b))::DOUBLE / least(len(a), len(b)))), 9) AS sim FROM tok JOIN rat ON id = c_custkey GROUP BY c_custkey"""
 
+# The four tiers with the whole similarity, which is worked out for pairs of texts that need it.
+_FULL_TIERS = f"""
+near AS (
+  SELECT l.entry_id, s.line_id, l.cents AS lc, s.cents AS sc, lower(l.description) AS x, lower(s.description) AS y, abs(date_diff('day', l.date, s.date)) AS gap, coalesce(l.reference = s.reference, false) AS same_ref
+  FROM ledger l JOIN statement s ON l.scope = s.scope AND (l.cents < 0) = (s.cents < 0) AND abs(date_diff('day', l.date, s.date)) <= 3
+), eq AS (SELECT * FROM near WHERE lc = sc),
+w3 AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY line_id) <= 12),
+w4 AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY entry_id) <= 12),
+hit AS (
+  SELECT 3 AS tier, [a.entry_id] AS entry_ids, [a.line_id, b.line_id] AS line_ids, [a.x, b.x] AS xs, [a.y, b.y] AS ys FROM w3 a JOIN w3 b ON a.entry_id = b.entry_id AND a.line_id < b.line_id WHERE a.sc + b.sc = a.lc
+  UNION ALL SELECT 3, [a.entry_id], [a.line_id, b.line_id, c.line_id], [a.x, b.x, c.x], [a.y, b.y, c.y] FROM w3 a JOIN w3 b ON a.entry_id = b.entry_id AND a.line_id < b.line_id JOIN w3 c ON a.entry_id = c.entry_id AND b.line_id < c.line_id WHERE a.sc + b.sc + c.sc = a.lc
+  UNION ALL SELECT 4, [a.entry_id, b.entry_id], [a.line_id], [a.x, b.x], [a.y, b.y] FROM w4 a JOIN w4 b ON a.line_id = b.line_id AND a.entry_id < b.entry_id WHERE a.lc + b.lc = a.sc
+  UNION ALL SELECT 4, [a.entry_id, b.entry_id, c.entry_id], [a.line_id], [a.x, b.x, c.x], [a.y, b.y, c.y] FROM w4 a JOIN w4 b ON a.line_id = b.line_id AND a.entry_id < b.entry_id JOIN w4 c ON a.line_id = c.line_id AND b.entry_id < c.entry_id WHERE a.lc + b.lc + c.lc = a.sc
+), parts AS (SELECT row_number() OVER () AS no, * FROM hit), flat AS (SELECT no, unnest(xs) AS x, unnest(ys) AS y, generate_subscripts(xs, 1) AS pos FROM parts),
+pr AS MATERIALIZED (SELECT row_number() OVER () AS id, 'low' AS kind, x, y FROM (SELECT x, y FROM eq UNION SELECT x, y FROM flat)),
+seg AS (
+  SELECT id, kind, x, y, {_longest("x", "y")} AS m FROM pr
+  UNION ALL
+  SELECT id, kind, c.x, c.y, {_longest("c.x", "c.y")} FROM (
+    SELECT id, kind, unnest([{{'x': substr(x, 1, -m.i - 1), 'y': substr(y, 1, -m.j - 1)}}, {{'x': substr(x, m.k - m.i), 'y': substr(y, m.k - m.j)}}]) AS c FROM seg WHERE m.k > 0)
+), sm AS MATERIALIZED (
+  SELECT p.x, p.y, greatest(2.0::DOUBLE * sum(coalesce(m.k, 0)) / min(length(p.x) + length(p.y)), max(len(list_intersect({_tokens("p.x")}, {_tokens("p.y")}))::DOUBLE / least(len({_tokens("p.x")}), len({_tokens("p.y")})))) AS sim
+  FROM pr p JOIN seg s ON s.id = p.id GROUP BY p.id, p.x, p.y
+), means AS (SELECT no, fsum(sim ORDER BY pos) / count(*) AS sim FROM flat JOIN sm USING (x, y) GROUP BY no),
+cands AS (
+  SELECT [entry_id] AS entry_ids, [line_id] AS line_ids, CASE WHEN gap = 0 THEN 1 ELSE 2 END AS tier,
+    CASE WHEN gap = 0 AND same_ref THEN 1.0::DOUBLE WHEN gap = 0 THEN 0.95::DOUBLE ELSE 0.6::DOUBLE + 0.3::DOUBLE * sim * (1.0::DOUBLE - gap / 4.0::DOUBLE) END AS confidence
+  FROM eq JOIN sm USING (x, y) WHERE (gap = 0 AND same_ref) OR sim >= 0.55
+  UNION ALL SELECT entry_ids, line_ids, tier, 0.55::DOUBLE + 0.15::DOUBLE * sim - 0.05::DOUBLE * (len(xs) - 2) FROM parts JOIN means USING (no)
+)"""
+
 # The features, family by family, in the words of their definitions.
 _SAME = "x.currency = b.currency AND x.account = b.account AND x.value_date = b.value_date"
 _CELLMATE = _SAME + " AND x.minor = b.minor"
@@ -381,6 +412,7 @@ def oracle_sql() -> dict[str, str]:
         "qgram_jaccard": "WITH " + _NAMES + " SELECT * FROM cp WHERE a_key < b_key",
         "argmax_by_text": "WITH " + _NAMES + " SELECT b_key, min_by(a_key, (-qgram3, a_key)) AS a_key FROM cp GROUP BY b_key",
         "char_ratio_names": "WITH RECURSIVE " + _RATIOS + _RATIO_ROWS,
+        "match_desc_sim": "WITH RECURSIVE " + _with(_FULL_TIERS, _MATCHED, select=_candidates("mxwon")).removeprefix("WITH "),
         "scope_candidates": _with(_RECORDS, _SCOPE, select="SELECT b_id, n, removed, CASE WHEN n = 1 THEN 'unique' WHEN n > 1 THEN 'ambiguous' ELSE 'impossible' END AS class, CASE WHEN n = 1 THEN a1 END AS sole_a, mutual FROM candm"),
         "scope_rules": _with(_RECORDS, _SCOPE, select=_RULES),
         "cells": _with(_RECORDS, select="SELECT currency, account, value_date, minor, n_a, n_b, imbalance, balanced, array_to_string(predicted, ',') AS predicted FROM cels"),
