@@ -76,17 +76,16 @@ def classify(predicted: Column, target: Column) -> Column:
     )
 
 
-def floor_percentiles(values: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
-    """One row with the values at index min(n-1, floor(share * n)) of the ascending order.
+def floor_percentiles(values: DataFrame, column: str, shares: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """The values at index min(n-1, floor(share * n)) of the ascending order, one row for each ``by``.
 
-    Equal values are counted first, so what is ranked is the distinct values, not the rows.
+    Equal values are counted first, so what is ranked is the distinct values, not the rows: of
+    group sizes over n rows there are at most sqrt(2n).
     """
     from pyspark.sql import Window
 
-    counts = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.select("v", F.sum("c").over(upto).alias("upto"))
-    total = values.agg(F.count("*").alias("n"))
-    both = ranked.join(F.broadcast(total), F.lit(True))
+    counts = values.groupBy(*by, F.col(column).alias("v")).agg(F.count("*").alias("c"))
+    of = Window.partitionBy(*by)
+    ranked = counts.select(*by, "v", F.sum("c").over(of.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("c").over(of).alias("n"))
     at = lambda q: F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n")))
-    return both.agg(*[F.min(F.when(F.col("upto") > at(q), F.col("v"))).alias(name) for name, q in shares.items()])
+    return ranked.groupBy(*by).agg(*[F.min(F.when(F.col("upto") > at(q), F.col("v"))).alias(name) for name, q in shares.items()])

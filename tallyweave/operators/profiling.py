@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,24 +40,23 @@ def one_to_one(records: DataFrame, group: str = "match_id") -> DataFrame:
 
 
 def blocking(records: DataFrame, keys: dict[str, list[Column]] | None = None, group: str = "match_id") -> DataFrame:
-    """key, recall, p50, p95, p99, max: does the true A share B's key, and how many A records do?
+    """key, recall, p50, p95, p99, largest: does the true A share B's key, and how many A records do?
 
-    Block sizes are grouped counts, so no block is expanded into pairs.
+    Block sizes are grouped counts, so no block is expanded into pairs. All keys are unpivoted into
+    one grouping, so one pass and one join serve them all. A key with a null part has no block.
     """
-    pairs = one_to_one(records, group)
-    out = []
-    for name, cols in (keys or block_keys()).items():
-        named = [c.alias(f"k{i}") for i, c in enumerate(cols)]
-        ks = [f"k{i}" for i in range(len(cols))]
-        sizes = records.where(is_a()).select(*named).groupBy(*ks).agg(F.count("*").alias("size"))
-        b = pairs.select("b.*", group).select(F.col(group).alias("_g"), *named)
-        a = pairs.select("a.*", group).select(F.col(group).alias("_g"), *[c.alias(f"a{i}") for i, c in enumerate(cols)])
-        same = reduce(lambda x, y: x & y, [F.col(f"a{i}").eqNullSafe(F.col(f"k{i}")) for i in range(len(cols))])
-        rows = b.join(a, "_g").withColumn("hit", same).join(sizes, ks, "left").select("hit", F.coalesce("size", F.lit(0)).alias("size"))
-        spread = floor_percentiles(rows, "size", {"p50": 0.5, "p95": 0.95, "p99": 0.99, "largest": 1.0})
-        recall = rows.agg((F.count_if("hit") / F.count("*")).alias("recall"))
-        out.append(recall.join(spread, F.lit(True)).select(F.lit(name).alias("key"), "recall", "p50", "p95", "p99", "largest"))
-    return reduce(DataFrame.unionByName, out)
+    keys = keys or block_keys()
+    made = F.array(*[F.struct(F.lit(n).alias("key"), F.array(*[c.cast("string") for c in cols]).alias("k")) for n, cols in keys.items()])
+    keyed = records.select(group, "side", made.alias("_keys"))
+    sizes = keyed.where(is_a()).select(F.explode("_keys").alias("x")).select("x.*").groupBy("key", "k").agg(F.count("*").alias("size"))
+    both = F.zip_with("b._keys", "a._keys", lambda b, a: F.struct(b["key"].alias("key"), b["k"].alias("k"), b["k"].eqNullSafe(a["k"]).alias("hit")))
+    pairs = one_to_one(keyed, group).select(F.explode(both).alias("x")).select("x.*")
+    whole = F.when(~F.exists("k", lambda x: x.isNull()), F.col("k"))
+    rows = pairs.withColumn("k", whole).join(sizes, ["key", "k"], "left").select("key", "hit", F.coalesce("size", F.lit(0)).alias("size"))
+    recall = rows.groupBy("key").agg((F.count_if("hit") / F.count("*")).alias("recall"))
+    spread = floor_percentiles(rows, "size", {"p50": 0.5, "p95": 0.95, "p99": 0.99, "largest": 1.0}, by=("key",))
+    names = records.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in keys])).alias("key"))
+    return names.join(recall, "key", "left").join(spread, "key", "left").select("key", "recall", "p50", "p95", "p99", "largest")
 
 
 def cardinality_histogram(records: DataFrame, group: str = "match_id", top: int = 10) -> DataFrame:

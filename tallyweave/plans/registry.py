@@ -277,9 +277,7 @@ def amount_window_frequency(spark, sf_dir):
 
 
 def sibling_tokens(spark, sf_dir):
-    r = _records(spark, sf_dir)
-    both = [frontier.sibling_tokens(r, s).withColumn("side", F.lit(s)) for s in ("A", "B")]
-    return both[0].unionByName(both[1])
+    return frontier.sibling_tokens(_records(spark, sf_dir))
 
 
 def frontier_features(spark, sf_dir):

@@ -135,3 +135,18 @@ def test_ranker_orders_the_separable(spark):
     scored = frontier.fit_ranker(rows, ["n_a", "n_b"], trees=3, depth=2)(rows)
     top = scored.orderBy(F.desc("score")).limit(30).agg(F.avg("label")).first()[0]
     assert top == 1.0
+
+
+def test_sibling_tokens_alike_for_any_bound(spark):
+    words = ["pos", "ach", "x", "y", "z", ""]
+    rows = [rec("AB"[i % 2], f"r{i}", "m", 100 * (i % 5), day=f"2026-01-0{5 + i % 3 // 2}", text=f"pos {words[i % 6]} {words[i * 7 % 5]} {i % 11}" if i % 9 else words[i % 6]) for i in range(80)]
+    records = frame(spark, rows)
+    bags = [(r.side, r.value_date, r.minor, set(f"{r.attributes or ''} {r.reference or ''}".casefold().split())) for r in records.collect()]
+    want = {}
+    for side, day, minor in {b[:3] for b in bags}:
+        own = set().union(*[b[3] for b in bags if b[:3] == (side, day, minor)])
+        n = sum(1 for b in bags if b[:2] == (side, day) and b[2] != minor and own & b[3])
+        if n:
+            want[side, day, minor] = n
+    for frequent in (0, 1, 4, 10, 1000):
+        assert {(r.side, r.value_date, r.minor): r.n for r in frontier.sibling_tokens(records, frequent).collect()} == want
