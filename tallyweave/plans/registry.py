@@ -277,7 +277,7 @@ def amount_window_frequency(spark, sf_dir):
 
 
 def sibling_tokens(spark, sf_dir):
-    return frontier.sibling_tokens(_records(spark, sf_dir))
+    return frontier.sibling_tokens(projection.records(spark, sf_dir))
 
 
 def frontier_features(spark, sf_dir):

@@ -150,3 +150,12 @@ def test_sibling_tokens_alike_for_any_bound(spark):
             want[side, day, minor] = n
     for frequent in (0, 1, 4, 10, 1000):
         assert {(r.side, r.value_date, r.minor): r.n for r in frontier.sibling_tokens(records, frequent).collect()} == want
+
+
+def test_members_meet_kinds_and_not_pairs(spark):
+    # forty members of a group share a word: they are one kind; weights count, words of one member alone do not
+    rows = [("g", m, str(i), m % 2, ["pay", f"own{m}"] if m < 40 else [f"own{m}"]) for m in range(42) for i in range(2)] + [("h", 1, "a", 1, ["pay"]), ("h", 1, "b", 1, ["pay"])]
+    items = spark.createDataFrame(rows, "group string, member long, item string, weight long, tokens array<string>")
+    want = {("g", m): 40 - 2 * (m % 2) for m in range(40)}
+    for frequent in (0, 1, 100):
+        assert {(r.group, r.member): r.n for r in identify.met_weight(items, ["group"], frequent).collect()} == want
