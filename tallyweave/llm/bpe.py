@@ -21,7 +21,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import cached, map_rows
 
 #: Bounds on cached work. Full caches of pairs and words become the old generation, from which what is
 #: asked for again moves back; a full table of states is emptied, but for the state at hand.
@@ -268,6 +268,7 @@ class Codec:
         yield machine.close()
 
 
+@cached
 @functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """One codec a Python worker: later tasks find its caches filled."""

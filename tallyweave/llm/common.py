@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -75,10 +76,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Caches that stay in a Python worker from task to task.
+_caches: list = []
+
+
+def cached(cache):
+    """Registers a worker's cache, so that tasks of other operators can empty it."""
+    _caches.append(cache)
+    return cache
+
+
+def lean() -> None:
+    """Empties this worker's caches: workers are used again by operators that need none of them."""
+    for cache in _caches:
+        cache.cache_clear()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: idle workers would hold it beside the executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+    batch = None
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        batch = None  # else it would stay until the task has ended
+        give_back()
 
 
 def map_rows(df: DataFrame, columns: list[str], fields: list[T.StructField], start: Callable[[], Callable[..., list[list]]]) -> DataFrame:

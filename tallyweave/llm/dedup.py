@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_stored, release, slices, stored
+from .common import drop_stored, lean, release, slices, stored
 
 SKETCH, MISS = 80, 1e-12
 #: Retained values in a row that make a list's key, and sets so small that two make one as well.
@@ -106,6 +106,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
+        lean()
         for b in slices(batches):
             sets = [shingles(t, width) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -252,6 +253,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     hits = texts.join(F.broadcast(wanted) if few else wanted, texts["id"].eqNullSafe(wanted["id"]) & (texts["mark"] == wanted["mark"])).select("nid", "text").dropDuplicates(["nid"])
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in slices(batches, 64):
             yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingles(t, width) for t in b.column(1).to_pylist()])], names=["nid", "set"])
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, map_rows, slices
+from .common import crc_mod, lean, map_rows, slices
 from .linear import Ftrl, hashed_grams
 
 SIZES, BITS = (4, 5), 18
@@ -59,6 +59,7 @@ def _ratios(rows: DataFrame):
     import numpy as np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         total, n = np.zeros((2, 1 << BITS), np.int64), [0, 0]
         for b in slices(batches):
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -159,6 +160,7 @@ def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     shared, schema, place = docs.sparkSession.sparkContext.broadcast(model), docs.schema, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in slices(batches):
             yield b.filter(pa.array([shared.value.score(t) < threshold for t in b.column(place).to_pylist()], pa.bool_()))
 

@@ -543,3 +543,18 @@ def test_candidates_without_caps():
     for text in ("std::vector<a::b> x", "-" * 40 + "\nand " + "_" * 300, "a" * 300_000, "the well-known-but-long-hyphenated-word of it"):
         assert pii.find([text], pii.model())[0] == ([], []), text[:50]
     pii.features("9" * 300_000, ("secret", 0, 300_000)), pii.features("ab12" + "9" * 9000, ("secret", 0, 9004))
+
+
+def test_workers_keep_neither_caches_nor_freed_memory(codec, monkeypatch):
+    import pyarrow as pa
+
+    from tallyweave.llm import common
+
+    p = pytest.importorskip("public_tokenizers")
+    bpe.codec(p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
+    common.lean()
+    assert bpe.codec.cache_info().currsize == 0
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    batch = pa.RecordBatch.from_pydict({"x": list(range(600))})
+    assert [b.num_rows for b in common.slices(iter([batch, batch]))] == [256, 256, 88] * 2 and given == [1]
