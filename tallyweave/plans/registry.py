@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.config import MatchConfig
 from tallyweave.functions import stats, text
-from tallyweave.operators import candidates, cells, frontier, identify, metrics, profiling, report, resolve, scoped
+from tallyweave.operators import candidates, cells, frontier, identify, metrics, profiling, ranking, report, resolve, scoped
 from tallyweave.plans import projection
 from tallyweave.plans.cut import cut, packed
 from tallyweave.sources import datagen, records
@@ -160,21 +160,18 @@ def token_containment(spark, sf_dir):
     return _rounded(pairs.select("a_key", "b_key", text.containment(F.col("a_name"), F.col("b_name")).alias("sim")))
 
 
-def _name_pairs(spark, sf_dir):
-    """Customers of one nation and segment: their names' grams are made once, before the join."""
-    c = _table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", "c_custkey", text.qgrams(F.col("c_name"), 2).alias("g2"), text.qgrams(F.col("c_name"), 3).alias("g3"))
-    keys = ["c_nationkey", "c_mktsegment"]
-    pairs = c.toDF(*keys, "a_key", "a2", "a3").join(c.toDF(*keys, "b_key", "b2", "b3"), keys).where("a_key <> b_key")
-    return pairs.select("a_key", "b_key", F.round(text.jaccard(F.col("a2"), F.col("b2")), 9).alias("qgram2"), F.round(text.jaccard(F.col("a3"), F.col("b3")), 9).alias("qgram3"))
+def _names(spark, sf_dir):
+    """Customers with the grams of their names, to be compared within nation and segment; a null name has none."""
+    name = F.coalesce("c_name", F.lit(""))
+    return _table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", "c_custkey", text.qgrams(name, 2).alias("qgram2"), text.qgrams(name, 3).alias("qgram3"))
 
 
 def qgram_jaccard(spark, sf_dir):
-    return _name_pairs(spark, sf_dir).where("a_key < b_key")
+    return ranking.all_pairs(_names(spark, sf_dir), ["c_nationkey", "c_mktsegment"], "c_custkey", ["qgram2", "qgram3"])
 
 
 def argmax_by_text(spark, sf_dir):
-    best = F.min_by("a_key", F.struct((-F.col("qgram3")).alias("s"), "a_key"))
-    return _name_pairs(spark, sf_dir).groupBy("b_key").agg(best.alias("a_key"))
+    return ranking.most_similar(_names(spark, sf_dir), ["c_nationkey", "c_mktsegment"], "c_custkey", "qgram3")
 
 
 def char_ratio_names(spark, sf_dir):
