@@ -7,9 +7,11 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyweave.config import MatchConfig
+from tallyweave.config import LEDGER, STATEMENT, MatchConfig
 from tallyweave.operators import metrics, report
+from tallyweave.plans import registry
 from tallyweave.sources import benchmark, datagen, records, sinks
 from tallyweave.streaming import incremental
 
@@ -179,3 +181,15 @@ def test_a_batch_meets_the_ledger_with_its_new_lines_alone(spark, sets, monkeypa
         if i != 1:
             assert show(m.matches(spark)) == show(report.match(ledger, seen, config))
     assert sum(met) == seen.count() and 0 < met[2] < parts[2].count()
+
+
+def test_streamed_matches_search_whole_windows(spark, tmp_path, monkeypatch):
+    # sixteen parts by id lie before the two that add up, on both sides: a window cut to twelve does not hold them
+    record = lambda i, cents: ("x", i, date(2026, 3, 2), "tea", Decimal(cents) / 100, None, str(cents), 0)
+    entries = [record(f"E{n:02d}", -10007 * (n + 1)) for n in range(16)] + [record("T1", -50010), record("T2", -23417), record("W", -83353)]
+    lines = [record(f"S{n:02d}", -20011 * (n + 1)) for n in range(16)] + [record("U1", -50020), record("U2", -33333), record("V", -73427)]
+    frame = lambda rows, kind: spark.createDataFrame(rows, T.StructType([T.StructField("scope", T.StringType()), *kind.fields]))
+    monkeypatch.setattr(registry.projection, "ledger", lambda *_: frame(entries, LEDGER))
+    monkeypatch.setattr(registry.projection, "statement", lambda *_: frame(lines, STATEMENT))
+    got = {(r.tier, r.entry_ids, r.line_ids) for r in registry.streamed_matches(spark, str(tmp_path)).collect()}
+    assert got == {(3, "W", "U1,U2"), (4, "T1,T2", "V")}
