@@ -311,11 +311,11 @@ def frontier_buckets(spark, sf_dir):
 
 def learned_frontier(spark, sf_dir):
     """A ranker fitted on the dev groups, its frontier read on the others."""
-    r = packed(projection.records(spark, sf_dir))
-    parts = {s: r.where(stats.assign_split(F.col("match_id")) == s) for s in ("dev", "val")}
-    rows = {s: frontier.feature_rows(p, cells.truth(p)) for s, p in parts.items()}
-    scored = frontier.fit_ranker(rows["dev"])(rows["val"])
-    return _rounded(frontier.coverage_frontier(scored, parts["val"].where("side = 'B'").count()))
+    # both splits at once, each a part of its own; the split is costly, so it is stored
+    r = packed(projection.records(spark, sf_dir).withColumn("split", stats.assign_split(F.col("match_id"))))
+    rows = packed(frontier.feature_rows(r, within=("split",)))
+    scored = frontier.fit_ranker(rows.where("split = 'dev'"))(rows.where("split = 'val'"))
+    return _rounded(frontier.coverage_frontier(scored, r.where("split = 'val' and side = 'B'").count()))
 
 
 def adapter_signed_amount(spark, sf_dir):

@@ -1,8 +1,12 @@
 """Cells, scopes, profiles, witnesses, features and frontier on small hand-made records."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tallyweave.functions import overlaps
 from tallyweave.operators import cells, frontier, identify, profiling, scoped
 
 SCHEMA = "side string, rec_id string, match_id string, minor long, value_date string, direction string, reference string, attributes string, currency string, account string, allocation string, target string, ord long"
@@ -175,3 +179,43 @@ def test_packed_keeps_rows_and_types(spark, records):
     got = packed(seen)
     assert got.dtypes == seen.dtypes and sorted(map(str, got.collect())) == sorted(map(str, seen.collect()))
     assert not {*records.inputFiles()} & {*got.inputFiles()} and all("packed-" in f for f in got.inputFiles())
+
+
+def test_members_meet_items_alike_counted_by_bits_or_by_kinds(spark):
+    # a group of over sixty-four items, weights above one, an item in two rows, items without tokens, a missing item name
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    rows = [("gh"[i % 3 == 0], i % 2, rng.randrange(40), f"i{i % 290}" if i % 50 else None, rng.randrange(6), rng.sample(words, rng.randrange(4))) for i in range(300)]
+    rows += [("alone", 0, 1, "x", 3, ["w1"]), (None, 0, 1, "x", 3, ["w1"]), (None, 0, 2, "x", 3, ["w1"])]
+    items = spark.createDataFrame(rows, "g string, h int, member long, item string, weight long, tokens array<string>")
+    bags, weights = {}, {}
+    for g, h, member, item, weight, tokens in rows:
+        bags.setdefault((g, h, member, item), set()).update(tokens)
+        weights[g, h, member, item] = max(weight, weights.get((g, h, member, item), 0))
+    own = {}
+    for key, tokens in bags.items():
+        own.setdefault(key[:3], set()).update(tokens)
+    want = {m: sum(weights[k] for k, b in bags.items() if k[:2] == m[:2] and k[2] != m[2] and b & own[m]) for m in own if m[0]}
+    for held in (0, 40, 1 << 14):
+        got = {(r.g, r.h, r.member): r.n for r in identify.met_weight(items, ["g", "h"], 3, held).collect()}
+        assert got == {m: n for m, n in want.items() if n} and len(got) > 100
+
+
+def test_groups_are_counted_whole_across_batches(monkeypatch):
+    rows = [{"_hash": g, "g": g, "member": i, "item": str(i), "weight": 1, "tokens": ["a"]} for g in (5, 9, 2) for i in range(7)]
+    table = pa.Table.from_pylist(rows)
+    for gathered in (1, 4, 10, 100):
+        monkeypatch.setattr(overlaps, "ROWS", gathered)
+        got = [(r["g"], r["member"], r["n"]) for b in overlaps.counted(iter(table.to_batches(max_chunksize=3)), ["g"]) for r in b.to_pylist()]
+        assert sorted(got) == sorted((r["g"], r["member"], 6) for r in rows)
+    assert list(overlaps.counted(iter([]), ["g"])) == []
+
+
+def test_parts_of_records_have_their_own_features(spark, records):
+    # rows of both parts by one call are those of two
+    both = records.withColumn("part", F.when(F.col("rec_id").isin("a1", "b1", "a2", "b2"), "x").otherwise("y"))
+    show = lambda df: sorted(map(str, df.drop("part").collect()))
+    got = frontier.feature_rows(both, within=("part",))
+    for part in ("x", "y"):
+        one = records.join(both.where(F.col("part") == part).select("rec_id"), "rec_id", "left_semi")
+        assert show(got.where(F.col("part") == part).select("b_id", "label", *frontier.FEATURES)) == show(frontier.feature_rows(one, cells.truth(one)))
